@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import garbled, lookalikes
+from shelfmark.llm import garbled, lookalikes, survivors
 from shelfmark.session import read_table
 
 
@@ -30,14 +30,46 @@ def p4_repairs(spark: SparkSession, base: str) -> DataFrame:
     return garbled.find_garbled(read_table(spark, base, "documents"))
 
 
+def _records(spark: SparkSession, base: str) -> DataFrame:
+    return survivors.surviving_records(*(read_table(spark, base, t) for t in ("documents", "document_paths", "scan_jobs", "corpus_sources")))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return survivors.dominant_rows(_records(spark, base))
+
+
+def p5_records(spark: SparkSession, base: str) -> DataFrame:
+    """The surviving record of every group of copies, also where no row dominates."""
+    return _records(spark, base)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
         "p3_forms": p3_forms,
         "p4_found": p4_found,
         "p4_repairs": p4_repairs,
+        "p5_found": p5_found,
+        "p5_records": p5_records,
     }
 
 
+_FILLED = " + ".join(f"(coalesce(trim(lower({c})) NOT IN ({', '.join(repr(x) for x in survivors.PLACEHOLDERS)}), false))::INT" for c in survivors.METADATA)
+P5_SQL = f"""
+WITH rows_ AS (
+  SELECT d.sha256, d.doc_id, d.file_name, {_FILLED} AS filled, coalesce(epoch(j.run_at), -1e18) AS run_s, coalesce(s.trust_rank, 1000000000) AS trust
+  FROM documents d LEFT JOIN scan_jobs j ON j.job_id = d.last_seen_job LEFT JOIN corpus_sources s ON s.source = d.source
+  WHERE d.sha256 IN (SELECT sha256 FROM documents GROUP BY 1 HAVING count(*) > 1)
+), best AS (
+  SELECT a.* FROM rows_ a WHERE NOT EXISTS (
+    SELECT 1 FROM rows_ b WHERE b.sha256 = a.sha256 AND b.doc_id <> a.doc_id
+      AND NOT (a.filled >= b.filled AND a.run_s >= b.run_s AND a.trust <= b.trust AND (a.filled > b.filled OR a.run_s > b.run_s OR a.trust < b.trust)))
+)
+SELECT b.sha256, b.doc_id, min(p.id) AS path_id
+FROM best b LEFT JOIN document_paths p ON regexp_extract(lower(p.sha256), '[0-9a-f]{{64}}') = b.sha256 AND ends_with(p.rel_path, '/' || b.file_name)
+GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_SQL}
