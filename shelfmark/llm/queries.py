@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import garbled, lookalikes, survivors
-from shelfmark.session import read_table
+from shelfmark.llm import garbled, lookalikes, mixing, packing, survivors, tokens
+from shelfmark.session import cut_lineage, read_table
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -43,6 +44,48 @@ def p5_records(spark: SparkSession, base: str) -> DataFrame:
     return _records(spark, base)
 
 
+def _text_sizes(spark: SparkSession, base: str) -> DataFrame:
+    """(key, tokens) of every non-empty text, counted once and kept in the shared folder."""
+    texts = read_table(spark, base, "documents").filter("text <> ''")
+    return cut_lineage(texts.select(F.col("doc_id").alias("key"), tokens.token_count(F.col("text")).alias("tokens")))
+
+
+def p6_containers(spark: SparkSession, base: str) -> DataFrame:
+    """The container of every text, or piece of one, for each profile; shorter profiles' lengths are permitted too."""
+    sizes = _text_sizes(spark, base)
+    profiles = sorted((r["capacity_tokens"], r["profile"]) for r in read_table(spark, base, "pack_profiles").collect())
+    lengths = [c for c, _ in profiles]
+    out = None
+    for capacity, profile in profiles:
+        packed = packing.pack(sizes, capacity, lengths).withColumnRenamed("key", "doc_id").withColumn("profile", F.lit(profile)).withColumn("capacity_tokens", F.lit(capacity))
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
+def p6_report(spark: SparkSession, base: str) -> DataFrame:
+    """Per profile: containers, tokens held, space in full and in downsized containers, and the shares used."""
+    bins = p6_containers(spark, base).groupBy("profile", "capacity_tokens", "container").agg(F.max("container_tokens").alias("length"), F.sum("n_tokens").alias("used"))
+    sums = bins.groupBy("profile", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("length").alias("space"))
+    return sums.withColumn("used_of_space", F.col("tokens") / F.col("space")).withColumn("used_of_capacity", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def _mix_sizes(spark: SparkSession, base: str) -> DataFrame:
+    """(key, source, language, topic, tokens): the topic is the first label of the document's latest suggestion."""
+    docs = read_table(spark, base, "documents").filter("text <> ''")
+    labels = read_table(spark, base, "llm_document_suggestions").select("sha256", "updated_at", "id", F.get(F.from_json("suggested_labels_json", "array<string>"), F.lit(0)).alias("topic"))
+    latest = labels.filter("topic is not null").groupBy("sha256").agg(F.max_by("topic", F.struct("updated_at", "id")).alias("topic"))
+    sized = docs.select(F.col("doc_id").alias("key"), "source", F.col("lang").alias("language"), "sha256", tokens.token_count(F.col("text")).alias("tokens"))
+    return cut_lineage(sized.join(latest, "sha256", "left").drop("sha256"))
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix(_mix_sizes(spark, base), read_table(spark, base, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, base), read_table(spark, base, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
@@ -51,6 +94,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_repairs": p4_repairs,
         "p5_found": p5_found,
         "p5_records": p5_records,
+        "p6_containers": p6_containers,
+        "p6_report": p6_report,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
     }
 
 
