@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import garbled, lookalikes, mixing, packing, survivors, tokens
+from shelfmark.llm import garbled, lookalikes, mixing, name_links, packing, survivors, tokens
 from shelfmark.session import cut_lineage, read_table
 
 
+def _authors(spark: SparkSession, base: str) -> DataFrame:
+    """(value, n): distinct author strings of both columns with their rows."""
+    stored = read_table(spark, base, "documents").select(F.col("metadata_author").alias("value"))
+    suggested = read_table(spark, base, "llm_document_suggestions").select(F.col("suggested_author").alias("value"))
+    return cut_lineage(stored.unionByName(suggested).filter("value is not null").groupBy("value").agg(F.count("*").alias("n")))
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return name_links.linked_pairs(name_links.name_classes(_authors(spark, base)))
+
+
+def p1_canonical(spark: SparkSession, base: str) -> DataFrame:
+    """Every author string that names one person or organisation, with its canonical spelling."""
+    return name_links.canonical_names(name_links.name_classes(_authors(spark, base)))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     values = lookalikes.name_values(read_table(spark, base, "documents"), read_table(spark, base, "document_paths"))
     return lookalikes.find_unusual(values).select("field", "row_id").distinct()
@@ -88,6 +104,8 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_canonical": p1_canonical,
         "p3_found": p3_found,
         "p3_forms": p3_forms,
         "p4_found": p4_found,
