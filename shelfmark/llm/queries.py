@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import garbled, lookalikes, mixing, name_links, packing, survivors, tokens
+from shelfmark.llm import garbled, lookalikes, mixing, name_links, packing, pii, survivors, tokens
 from shelfmark.session import cut_lineage, read_table
 
 
@@ -102,6 +102,15 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, base), read_table(spark, base, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.find_segments(read_table(spark, base, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every text with placeholders in the place of personal information."""
+    return pii.redact_texts(read_table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -116,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_report": p6_report,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_redacted": p8_redacted,
     }
 
 
