@@ -1,4 +1,4 @@
-"""Queries of the general (not text) problems over the registry's tables."""
+"""All core queries: the registry's own, and those of the general (not text) problems."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import instants
+from shelfmark.plans import registry_queries, taxonomy_queries, workflow_queries
 from shelfmark.session import read_table
 
 
@@ -22,9 +23,12 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return instants.to_instants(documents, sources, _seen(documents, read_table(spark, base, "scan_jobs"))).distinct()
 
 
+_CATALOGS = (registry_queries.catalog, taxonomy_queries.catalog, workflow_queries.catalog)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {name: q for c in _CATALOGS for name, q in c.all.items()} | {"p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for c in _CATALOGS for name, sql in c.sql.items()}
