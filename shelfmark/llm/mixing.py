@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of u / p in which running sums are taken, so that no task has to order a whole source.
-RANGES = 256
+RANGES = 4096
 #: Classes of topics; rarer names share classes by their hash, so that the number of cells has a bound.
 TOPICS = 64
 
@@ -107,12 +107,15 @@ def mix(sizes: DataFrame, targets: DataFrame, size: float | None = None, seed: s
     base = uses.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("whole")).alias("given")).join(goal, ["mix_name", "source"]).select("mix_name", "source", (F.col("goal") - F.col("given")).alias("rest"))
     parts = uses.filter("xi is not null").groupBy("mix_name", "source", "_range").agg(F.sum("tokens").alias("_t"))
     along = Window.partitionBy("mix_name", "source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("_start", F.coalesce(F.sum("_t").over(along), F.lit(0))).join(base, ["mix_name", "source"]).drop("_t")
-    # Ranges wholly before or behind the end of the source's tokens need no order.
+    starts = parts.withColumn("_start", F.coalesce(F.sum("_t").over(along), F.lit(0))).join(base, ["mix_name", "source"])
+    # Only the range in which the source's tokens are met needs an order; those before it are used whole, those behind not.
+    ranged = uses.filter("xi is not null").join(starts, ["mix_name", "source", "_range"])
+    whole, part = F.col("_start") + F.col("_t") <= F.col("rest"), F.col("_start") <= F.col("rest")
+    settled = ranged.filter(whole | ~part).withColumn("_more", whole.cast("bigint"))
     inside = Window.partitionBy("mix_name", "source", "_range").orderBy("xi", "key").rowsBetween(Window.unboundedPreceding, -1)
-    joined = uses.join(starts, ["mix_name", "source", "_range"], "left")
     before = F.col("_start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    fraction = joined.filter("xi is not null").withColumn("_more", (before + F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
+    ordered = ranged.filter(~whole & part).withColumn("_more", (before + F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
+    fraction = settled.unionByName(ordered)
     rows = fraction.select("mix_name", "key", "source", "tokens", (F.col("whole") + F.col("_more")).alias("repeats")).unionByName(uses.filter("xi is null").select("mix_name", "key", "source", "tokens", F.col("whole").alias("repeats")))
     return rows.filter("repeats > 0")
 
