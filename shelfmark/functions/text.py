@@ -41,13 +41,13 @@ def truncate_name(x: Column) -> Column:
 
 
 def normalise(x: Column) -> Column:
-    """A readable title from a file name: base name, no extension, words of letters and digits, each capitalised."""
+    """A readable title from a file name: base name, no extension, words of letters and digits, each capitalised; null for null."""
     base = basename(F.replace(x, F.lit("\\"), F.lit("/")))
     base = F.when(strip_extension(base) != base, base).otherwise(x)
     bare = F.regexp_replace(clean_text(strip_extension(base)), r"^\.+", "")
     words = F.filter(F.split(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     cased = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
-    return truncate_name(cased)
+    return F.when(x.isNotNull(), truncate_name(cased))
 
 
 def normalise_file_name(x: Column) -> Column:

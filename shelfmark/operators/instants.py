@@ -72,7 +72,7 @@ def estimate_zones(values: DataFrame, bounds: DataFrame, key: str, group: str, f
     told = declared.select(F.col(group), F.col("zone").alias("declared_zone")).filter(F.col("declared_zone").isNotNull())
     both = told.join(sums, group, "full_outer").select(group, "declared_zone", F.coalesce("evidence", F.lit(0)).alias("evidence"), F.filter(options, lambda o: o["violations"].isNotNull()).alias("options"))
     best = F.array_min("options")
-    own = F.filter("options", lambda o: o["zone"] == F.col("declared_zone"))[0]["violations"]
+    own = F.get(F.filter("options", lambda o: o["zone"] == F.col("declared_zone")), F.lit(0))["violations"]
     given_up = F.col("declared_zone").isNull() | (own - best["violations"] > F.lit(override_share) * F.col("evidence"))
     return both.select(group, F.when(F.coalesce(given_up, F.lit(False)), best["zone"]).otherwise(F.col("declared_zone")).alias("zone"), best["violations"].alias("violations"), "evidence", "declared_zone")
 

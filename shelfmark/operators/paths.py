@@ -45,7 +45,7 @@ def delete_report(requested: DataFrame, disk: DataFrame, registry: DataFrame) ->
 
 def delete_paths(paths: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(paths left, report of (rel_path, sha256, remaining)) after the paths in ``gone`` are deleted."""
-    left = paths.join(gone.select("rel_path"), "rel_path", "left_anti")
+    left = paths.join(gone.select("rel_path"), "rel_path", "left_anti").select(*paths.columns)
     hit = paths.join(gone.select("rel_path").distinct(), "rel_path", "left_semi")
     counts = left.groupBy("sha256").agg(F.count("*").alias("remaining"))
     return left, hit.join(counts, "sha256", "left").select("rel_path", "sha256", F.coalesce("remaining", F.lit(0)).alias("remaining"))

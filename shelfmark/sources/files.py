@@ -32,7 +32,10 @@ REGISTRY = T.StructType([
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, size_bytes, modified): files below a root whose names match; contents aren't read."""
+    """(path, size_bytes, modified): files below a root whose names match; contents aren't read.
+
+    Spark's file sources leave out empty files, so this does too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
