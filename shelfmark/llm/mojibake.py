@@ -70,9 +70,13 @@ COMMON_MARKS = frozenset("–—‘’‚“”„…«»¿¡·•°±²³×÷§
 
 def garbling_cost(text: str) -> float:
     """How much a string looks garbled: control and box characters, marks and scripts mixed into words, odd case."""
-    cost, before, prev = 0.0, "ascii", " "
+    cost, before, prev, inside = 0.0, "ascii", " ", False
     for i, c in enumerate(text):
         k = _kind(c)
+        if k == "cjk":
+            inside = before == "latin" or inside and before == "cjk"
+        elif k == "latin" and before == "cjk" and inside:
+            cost += 1  # Han characters within a Latin word
         if k == "control":
             cost += 3 if c not in "\t\n\r" else 0
         elif k == "box":

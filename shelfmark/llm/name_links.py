@@ -37,7 +37,11 @@ ROUNDS = 5
 
 
 def _words(values: pd.Series) -> pd.Series:
-    return values.map(N.words_for_lexicon)
+    return values.map(lambda v: sorted(set(N.words_for_lexicon(v))))
+
+
+def _neighbours(values: pd.Series) -> pd.Series:
+    return values.map(N.neighbours)
 
 
 def _deletions(values: pd.Series) -> pd.Series:
@@ -68,9 +72,8 @@ def clean_names(values: DataFrame) -> DataFrame:
 
 def lexicon(spelt: DataFrame) -> DataFrame:
     """(word, as_): words of names that are common, as themselves, and their typos, as the common word."""
-    words = spelt.select("value", F.pandas_udf(_words, "array<string>")("value").alias("ws"))
-    pairs = words.select(F.explode("ws").alias("word"), "ws").select("word", F.explode("ws").alias("other"))
-    seen = pairs.groupBy("word").agg((F.count_distinct("other") - 1).alias("beside"))
+    pairs = spelt.select(F.inline(F.pandas_udf(_neighbours, "array<struct<word string, other string>>")("value")))
+    seen = pairs.groupBy("word").agg(F.count_distinct(F.when(F.col("other") != F.col("word"), F.col("other"))).alias("beside"))
     static = F.col("word").isin(*sorted(N.STATIC))
     judged = seen.withColumn("common", static | (F.col("beside") >= COMMON)).withColumn("beside", F.when(static, F.greatest("beside", F.lit(10 * COMMON))).otherwise(F.col("beside")))
     common = judged.filter("common").select("word", "beside")

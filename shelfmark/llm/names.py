@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 # Short and familiar forms of given names.
 NICKNAMES = {
@@ -46,9 +47,25 @@ def one_edit(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:]
 
 
+LONG_WORD = 64
+
+
 def deletions(word: str) -> list[str]:
-    """The word and what it becomes when one letter is left out; words one edit apart share one of these."""
-    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+    """Keys of which two words one edit apart share one.
+
+    The word and what it becomes when one letter is left out; for a long word, whose deletions would take its length
+    squared, digests of its first and last parts of about half its length: one edit leaves one of them as it is.
+    """
+    n = len(word)
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(n))} if n <= LONG_WORD else set()
+    if n >= LONG_WORD:
+        out.add("=" + _digest(word))
+        out |= {f"{side}{h}:{_digest(part)}" for h in range((n - 3) // 2, (n + 1) // 2 + 1) for side, part in (("<", word[:h]), (">", word[n - h :]))}
+    return sorted(out)
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def tokens(name: str) -> list[str]:
@@ -60,8 +77,16 @@ def tokens(name: str) -> list[str]:
 
 
 def words_for_lexicon(name: str) -> list[str]:
-    """Words of a name that may be common to many names: three letters or more, without dots."""
-    return sorted({t.rstrip(".") for t in tokens(name) if len(t.rstrip(".")) > 2 and t.rstrip(".") not in TITLES})
+    """Words of a name that may be common to many names, in order: three letters or more, without dots and titles."""
+    return [w for t in tokens(name) if len(w := t.rstrip(".")) > 2 and w not in TITLES]
+
+
+def neighbours(name: str) -> list[tuple[str, str]]:
+    """(word, other) of words that stand next to each other, both ways round; alone, a word has itself."""
+    words = words_for_lexicon(name)
+    if len(words) == 1:
+        return [(words[0], words[0])]
+    return sorted({p for a, b in zip(words, words[1:]) for p in ((a, b), (b, a))})
 
 
 def read_name(name: str, known: Mapping[str, str]) -> tuple[str, str, str] | None:
@@ -112,8 +137,3 @@ def read_name(name: str, known: Mapping[str, str]) -> tuple[str, str, str] | Non
 
 def _is_given(word: str, known: Mapping[str, str]) -> bool:
     return word in GIVEN or bool(known.get("~" + word))
-
-
-def put_right(words: Sequence[str], commons: Sequence[str]) -> list[tuple[str, str]]:
-    """Pairs (word, common word one edit away)."""
-    return [(w, c) for w, c in zip(words, commons) if one_edit(w, c)]
