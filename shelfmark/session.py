@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def has_columns(df: DataFrame, *names: str) -> bool:
     """Whether every name is a column of ``df``."""
     return set(names) <= set(df.columns)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no path to it.
+
+    On a cluster where the package is installed everywhere this changes nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="shelfmark-package-"), "shelfmark_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(os.path.join(home, "shelfmark")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, home))
+    context.addPyFile(archive)
+    context._shelfmark_shipped = True
