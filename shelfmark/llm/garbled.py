@@ -41,9 +41,10 @@ def _readings(words: pd.Series) -> pd.Series:
 
 
 def word_counts(values: DataFrame) -> DataFrame:
-    """(word, n) in lower case over all of (value, n)."""
-    words = values.select(F.explode(F.split(F.lower("value"), WORD_SEPARATOR)).alias("word"), "n").filter("word <> ''")
-    return words.groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, sure) in lower case over all of (value, n); ``sure`` leaves out values with question marks."""
+    sure = F.when(~F.contains("value", F.lit("?")), F.col("n")).otherwise(0).alias("sure")
+    words = values.select(F.explode(F.split(F.lower("value"), WORD_SEPARATOR)).alias("word"), "n", sure).filter("word <> ''")
+    return words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
 
 
 def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int = 3) -> DataFrame:
@@ -66,7 +67,10 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     best = better.groupBy("_word").agg(F.max(F.struct("_n_as", "_reading")).alias("_b")).select("_word", F.col("_b._reading").alias("_right"))
     put = words.join(best, "_word").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("_word").alias("_l"), "_word", "_right")), asc=False).alias("_pairs"))
     by_words = put.select("value", F.aggregate("_pairs", F.col("value"), lambda a, p: F.replace(a, p["_word"], p["_right"])).alias("_by_words"))
-    both = judged.join(by_words, "value", "left")
+    # a question mark at the end is lost text if what stands before it is no word of the corpus
+    asked = judged.filter(~F.col("lossy") & F.col("value").rlike(r"\pL\?$")).select("value", F.element_at(F.split(F.lower(F.regexp_replace("value", r"\?$", "")), WORD_SEPARATOR), -1).alias("_last"))
+    cut = asked.join(counts.select(F.col("word").alias("_last"), "sure"), "_last", "left").filter(F.coalesce("sure", F.lit(0)) < least_count).select("value", F.lit(True).alias("_cut"))
+    both = judged.join(by_words, "value", "left").join(cut, "value", "left").withColumn("lossy", F.col("lossy") | F.coalesce("_cut", F.lit(False)))
     found = both.filter((F.col("layers") > 0) | F.col("lossy") | F.col("control") | F.col("reading").isNotNull() | F.col("_by_words").isNotNull())
     lost = F.col("lossy") & (F.col("layers") == 0)
     repaired = F.when(F.col("layers") > 0, F.col("repaired")).when(~lost, F.coalesce("_by_words", "reading"))

@@ -53,5 +53,11 @@ def test_operator(spark):
     assert not any(k[0] in (0, 1, 2, 3, 4, 5, 12) for k in got)
 
 
+def test_question_mark_at_the_end(spark):
+    x = ("v", 1, "r")
+    rows = [(i, "Notes on the Manifold", "Zoë Rinpon", None, *x) for i in range(4)] + [(10, "What Is a Manifold?", "Rinpon, Zo?", None, *x), (11, None, "Kelv?", "?", *x)]
+    assert set(found(spark, rows)) == {(10, "metadata_author"), (11, "metadata_author"), (11, "metadata_creator")}
+
+
 def test_empty(spark):
     assert found(spark, []) == {}
