@@ -70,7 +70,7 @@ COMMON_MARKS = frozenset("–—‘’‚“”„…«»¿¡·•°±²³×÷§
 
 def garbling_cost(text: str) -> float:
     """How much a string looks garbled: control and box characters, marks and scripts mixed into words, odd case."""
-    cost, before, prev, inside = 0.0, "ascii", " ", False
+    cost, before, prev, inside, run = 0.0, "ascii", " ", False, 0
     for i, c in enumerate(text):
         k = _kind(c)
         if k == "cjk":
@@ -101,7 +101,8 @@ def garbling_cost(text: str) -> float:
                 cost += 0.5
         elif k in ("latin", "cyrillic", "greek"):
             if before in ("latin", "cyrillic", "greek") and before != k:
-                cost += 1.5
+                # words of different scripts may be written together; a letter or two among others' letters isn't a word
+                cost += 1.5 if min(run, _run_ahead(text, i, k)) < 3 else 0
             elif before == "mark" and prev in COMMON_MARKS and prev in "©®™³²±§°µ¼½¾¢" or before == "box":
                 cost += 1
             if k == "latin" and ord(c) > 127:
@@ -121,10 +122,19 @@ def garbling_cost(text: str) -> float:
             cost += 0.25 if before in ("latin", "cyrillic") else 0.05
             if ord(c) >= 0xF900:
                 cost += 1
+        run = run + 1 if k == before else 1
         before, prev = k, c
     return cost
 
 
+def _run_ahead(text: str, i: int, kind: str) -> int:
+    """Letters of one script from ``i`` on, counted up to three."""
+    n = 0
+    while n < 3 and i + n < len(text) and _kind(text[i + n]) == kind:
+        n += 1
+    return n
+
+
 def _unread(run: str, wrong: str, right: str) -> str | None:
     try:
         return run.encode(wrong, "passed_through").decode(right)
