@@ -36,6 +36,7 @@ def _passed_through(e):
 codecs.register_error("passed_through", _passed_through)
 
 _NON_ASCII_RUN = re.compile(r"[^\x00-\x7f]+(?:[ \x40-\x7e](?=[^\x00-\x7f]))?(?:[^\x00-\x7f]+)*")
+_NON_ASCII_WORD = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _LOST = re.compile(r"�|\?\?|(?<=\w)\?(?=\w)|(?<![^\W_])\?(?=[^\W\d_]|\.)|(?<=\w)\?(?= +\w|,)|^\?$")
 _UTF16 = re.compile(r"^(?:þÿ|ÿþ)")
@@ -145,20 +146,17 @@ def _unread(run: str, wrong: str, right: str) -> str | None:
 def _layers_off(text: str) -> list[str]:
     """What the text becomes when runs of it are re-encoded under each legacy encoding and decoded as UTF-8."""
     out = []
-    for wrong in WRONG_FOR_UTF8:
-        changed = False
-
-        def undo(m):
-            nonlocal changed
-            got = _unread(m[0], wrong, "utf-8")
-            if got is None or got == m[0] or _CONTROL.search(got) and not _CONTROL.search(m[0]):
-                return m[0]
-            changed = True
-            return got
-
-        got = _NON_ASCII_RUN.sub(undo, text)
-        if changed and got not in out:
-            out.append(got)
+    # runs of words first, as double-byte encodings may take in what stands between; then word by word, for text damaged in part
+    for pattern in (_NON_ASCII_RUN, _NON_ASCII_WORD):
+        for wrong in WRONG_FOR_UTF8:
+
+            def undo(m):
+                got = _unread(m[0], wrong, "utf-8")
+                return m[0] if got is None or _CONTROL.search(got) and not _CONTROL.search(m[0]) else got
+
+            got = pattern.sub(undo, text)
+            if got != text and got not in out:
+                out.append(got)
     return out
 
 

@@ -32,6 +32,10 @@ def test_two_layers(text):
     assert M.repair_layers(bad) == (text, 2)
 
 
+def test_damage_in_part():
+    assert M.repair_layers("Редкий Ð´Ð°Ñ‚Ñ‡Ð¸Ðº")[0] == "Редкий датчик" and M.repair_layers("Schriftgießer BÃ¼ro 3")[0] == "Schriftgießer Büro 3"
+
+
 @pytest.mark.parametrize("text", CLEAN + ["", "plain", "What Is a Tidal Manifold?", "Python入门与阀门方法", "Α/β-Wert", "Quillforge - ОсновыTeXдляосадки-971.qdoc", "l·l", "naïve café", "x" * 60000, "café " * 20000])
 def test_clean_stays(text):
     assert M.repair_layers(text) == (text, 0) and not M.is_lossy(text) and not M.has_control(text) and M.cheapest_reading(text) is None
