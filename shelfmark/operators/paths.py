@@ -66,3 +66,16 @@ def move_paths(paths: DataFrame, moves: DataFrame) -> DataFrame:
 def resolve_targets(listing: DataFrame, path: str) -> DataFrame:
     """(rel_path): distinct PDF files of a listing, inside the root."""
     return guard(listing, path).filter("verdict = 'ok'").select("rel_path").distinct()
+
+
+def upsert_paths(paths: DataFrame, new: DataFrame) -> DataFrame:
+    """Paths with new ones put in; a path that is there already stays with its document."""
+    fresh = new.select("sha256", "rel_path").join(paths.select("rel_path"), "rel_path", "left_anti")
+    return paths.select("sha256", "rel_path").unionByName(fresh.groupBy("rel_path").agg(F.min("sha256").alias("sha256")).select("sha256", "rel_path"))
+
+
+def moved_paths(paths: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(sha256, rel_path) after the moves that ``move_paths`` judged: moved ones renamed, dropped ones gone."""
+    gone = outcomes.filter("outcome in ('moved', 'dropped')").select(F.col("old_path").alias("rel_path"))
+    new = outcomes.filter("outcome = 'moved'").select("sha256", F.col("new_path").alias("rel_path"))
+    return paths.select("sha256", "rel_path").join(gone, "rel_path", "left_anti").select("sha256", "rel_path").unionByName(new)

@@ -1,0 +1,126 @@
+"""Whole runs composed of the operators: a scan, a batch of suggestions, a partition and an assignment."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfmark.functions import text as X
+from shelfmark.operators import partitioning as B
+from shelfmark.operators import registry as R
+from shelfmark.operators import suggestions as S
+from shelfmark.operators import taxonomy as T
+from shelfmark.session import cut_lineage
+
+Responder = Callable[[str], dict]
+
+
+def scan(documents: DataFrame, paths: DataFrame, state: DataFrame, jobs: DataFrame, batch: DataFrame, job_id: str, run_at: str, root: str) -> dict[str, DataFrame]:
+    """The next documents, paths, state and jobs after a batch (rel_path, sha256, size_bytes, mtime) is merged.
+
+    ``job_id`` and ``run_at`` are given, so that a run that is repeated gives the same tables.
+    """
+    rows = cut_lineage(R.merge_rows(paths, state, batch))
+    stats = R.merge_stats(rows, state, batch)
+    job = stats.select(F.lit(job_id).alias("job_id"), F.lit(run_at).cast("timestamp_ntz").alias("run_at"), F.lit(root).alias("root_path"), *[F.col(c).cast("int").alias(c) for c in ("added", "updated", "removed", "duplicates", "skipped")])
+    return {
+        "documents": R.merge_documents(documents, rows, job_id),
+        "paths": R.merge_paths(paths, rows),
+        "state": R.merge_state(state, rows, job_id),
+        "jobs": jobs.unionByName(job),
+    }
+
+
+def detect_languages(df: DataFrame, key: str, text: str, detector: Callable[[str], Sequence[str]]) -> DataFrame:
+    """(key, languages) by a given detector; blank texts and errors give none."""
+
+    def detect(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(list(detector(t.strip())) if t and t.strip() else [])
+            except Exception:  # a text that can't be judged has no language
+                out.append([])
+        return pd.Series(out)
+
+    return df.select(key, F.pandas_udf(detect, "array<string>")(F.col(text)).alias("languages"))
+
+
+def system_prompt(role: str, scope: str, goals: Sequence[str], rules: Sequence[str], evidence: Sequence[str] = ()) -> str:
+    """Instructions in sections: who answers, what is given, goals, evidence in order of weight, rules."""
+    parts = [role, f"Given: {scope}. Nothing else is known of the documents."]
+    for title, items in (("Goals", goals), ("Evidence, weightiest first", evidence), ("Rules", rules)):
+        if items:
+            parts.append(f"{title}:\n" + "\n".join(f"- {i}" for i in items))
+    return "\n\n".join(parts)
+
+
+def suggest(documents: DataFrame, paths: DataFrame, toc: DataFrame, suggestions: DataFrame, prompt_id: int, responder: Responder, needs_toc: bool = False, limit: int | None = None, most_toc: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(status per document, responses): the gate first, then one request for each document that is left.
+
+    Responses are written to the shared folder before they are used, so that nothing is requested twice.
+    """
+    status = S.batch_status(documents, toc, suggestions, prompt_id, needs_toc, limit)
+    inputs = S.prompt_inputs(documents.join(status.filter("status = 'pending'").select("sha256"), "sha256", "left_semi"), paths, toc, most_toc)
+    answers = cut_lineage(S.respond(S.payload(inputs), responder))
+    outcome = answers.select("sha256", F.when(F.col("error").isNull(), "persisted").otherwise("failed").alias("_outcome"))
+    done = status.join(outcome, "sha256", "left").select("sha256", F.coalesce("_outcome", "status").alias("status"))
+    return done, answers
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """One row: total, requested, persisted, skipped_existing, skipped_ineligible, failed."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return status.agg(F.count("*").alias("total"), n("persisted", "failed").alias("requested"), n("persisted").alias("persisted"), n("skipped_existing").alias("skipped_existing"), n("skipped_ineligible").alias("skipped_ineligible"), n("failed").alias("failed"))
+
+
+def propose(summaries: DataFrame, seed: str, chunk: int, offset: int, count: int, node_path: str, responder: Responder) -> DataFrame:
+    """(sha256, response, error) with the batch as key: one proposal for each of ``count`` batches of document summaries.
+
+    ``summaries``: (sha256, summary).  A batch has at most ``chunk`` documents, so what is gathered for a request is bounded.
+    """
+    batched = cut_lineage(B.batches(summaries, "sha256", seed, chunk))
+    B.check_range(batched, offset, count)
+    rows = batched.filter(F.col("batch_index").between(offset, offset + count - 1)).join(summaries, "sha256")
+    documents = F.transform(F.sort_array(F.collect_list(F.struct("rank", "summary"))), lambda d: d["summary"])
+    packed = rows.groupBy("batch_index").agg(documents.alias("documents"))
+    requests = packed.select(F.concat(F.lit("batch-"), "batch_index").alias("sha256"), F.to_json(F.struct(F.lit(node_path).alias("node_path"), "documents")).alias("payload"))
+    return cut_lineage(S.respond(requests, responder))
+
+
+def generalise(proposals: DataFrame, node_path: str, responder: Responder) -> DataFrame:
+    """One request that merges the proposals; there are as many as batches were asked for, which the caller bounds."""
+    good = proposals.filter("error is null")
+    request = good.agg(F.sort_array(F.collect_list(F.struct("sha256", "response"))).alias("p")).select(F.lit("merged").alias("sha256"), F.to_json(F.struct(F.lit(node_path).alias("node_path"), F.transform("p", lambda x: x["response"]).alias("proposals"))).alias("payload"))
+    return cut_lineage(S.respond(request, responder))
+
+
+ANSWER = "decision string, child string, confidence string, reasoning string"
+
+
+def assign(nodes: DataFrame, members: DataFrame, terms: DataFrame, assignments: DataFrame, paths: DataFrame, node_path: str, responder: Responder, keywords: Sequence[str] = (), offset: int = 0, limit: int | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(next assignments, problems): asks for each document of a node which child it belongs to.
+
+    Documents are taken in order of their digest, filtered by keyword and cut before the gate.  An answer that breaks a rule is a
+    problem and changes nothing; ``stay`` has that status, a child is pending until it is reviewed.
+    """
+    node = T.lookup(nodes, node_path).select(F.col("id").alias("node_id"))
+    docs = members.join(node, "node_id").select("node_id", "sha256").join(paths.filter(X.contains_any(F.col("rel_path"), list(keywords))).select("sha256"), "sha256", "left_anti").orderBy("sha256")
+    docs = docs.offset(offset)
+    docs = docs if limit is None else docs.limit(limit)
+    if not force:
+        docs = docs.join(assignments.select("node_id", "sha256"), ["node_id", "sha256"], "left_anti")
+    options = T.child_options(nodes, terms).groupBy(F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("name", "terms", "id"))).alias("options"))
+    asked = cut_lineage(docs.join(T.first_paths(paths), "sha256", "left").join(options, "node_id", "left"))
+    payload = F.to_json(F.struct(F.col("path").alias("current_path"), F.transform("options", lambda o: F.struct(o["name"].alias("name"), o["terms"].alias("terms"))).alias("children")))
+    answers = cut_lineage(S.respond(asked.select("sha256", payload.alias("payload")), responder))
+    read = asked.join(answers, "sha256").withColumn("a", F.from_json("response", ANSWER))
+    names = F.transform("options", lambda o: o["name"])
+    wrong = S.assignment_violation(F.col("a.decision"), F.col("a.child"), names, F.col("a.confidence"), F.col("a.reasoning"))
+    judged = read.withColumn("problem", F.coalesce(F.col("error"), wrong))
+    child = F.when(F.col("a.decision") == "child", F.get(F.filter("options", lambda o: o["name"] == F.col("a.child")), F.lit(0))["id"])
+    good = judged.filter("problem is null").select("node_id", "sha256", child.alias("assigned_child_id"), F.col("a.confidence").alias("confidence"), F.when(child.isNull(), "stay").otherwise("pending").alias("status"))
+    return T.upsert_assignments(assignments.select("node_id", "sha256", "assigned_child_id", "confidence", "status"), good), judged.filter("problem is not null").select("sha256", "problem")

@@ -158,3 +158,44 @@ def partition_children(nodes: DataFrame, parent_path: str, names: list[str]) ->
     row = new.join(F.broadcast(top), F.lit(True))
     made = row.select((F.col("_max") + F.col("_i")).cast("bigint").alias("id"), F.col("_parent.id").alias("parent_id"), F.col("_name").alias("name"), F.concat(F.lit(parent_path + "/"), F.col("_name")).alias("path"), (F.col("_parent.depth") + 1).cast("int").alias("depth"))
     return kept.unionByName(made)
+
+
+def remove_members(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """Memberships without the given (node_id, sha256)."""
+    return members.select("node_id", "sha256").join(gone.select("node_id", "sha256"), ["node_id", "sha256"], "left_anti")
+
+
+def mark_touched(assignments: DataFrame, documents: DataFrame) -> DataFrame:
+    """Assignments in which all of the given documents are marked as touched by hand."""
+    hit = documents.select("sha256", F.lit(True).alias("_hit")).distinct()
+    rows = assignments.join(hit, "sha256", "left")
+    return rows.select(*[F.when(F.col("_hit"), "manual_touched").otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in assignments.columns])
+
+
+def rename_node(nodes: DataFrame, path: str, name: str) -> DataFrame:
+    """Nodes with one of another name, and the paths of all below it after it."""
+    new = "/".join([*path.split("/")[:-1], name])
+    moved = F.concat(F.lit(new), F.substr(F.col("path"), F.lit(len(path) + 1)))
+    under = (F.col("path") == path) | F.col("path").startswith(path + "/")
+    return nodes.select(*[F.when(under, moved).otherwise(F.col("path")).alias("path") if c == "path" else F.when(F.col("path") == path, name).otherwise(F.col("name")).alias("name") if c == "name" else F.col(c) for c in nodes.columns])
+
+
+def delete_node(nodes: DataFrame, members: DataFrame, terms: DataFrame, assignments: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The four tables without a node, all below it, and what hangs on them."""
+    left = delete_subtree(nodes, members, terms, assignments, path)
+    gone = lookup(nodes, path).select("id")
+    by = lambda df, c: df.join(gone.select(F.col("id").alias(c)), c, "left_anti").select(*df.columns)
+    return {"nodes": by(left["nodes"], "id"), "members": by(left["members"], "node_id"), "terms": by(left["terms"], "node_id"), "assignments": by(by(left["assignments"], "node_id"), "assigned_child_id")}
+
+
+def ensure_nodes(nodes: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """Nodes with those that the paths in ``wanted`` still need; ids follow the greatest there is, in order of the path.
+
+    New nodes are made by hand or by a watcher, so their list is short enough to be put in order in one place.
+    """
+    fresh = chain(wanted, path).join(nodes.select("path"), "path", "left_anti")
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))  # one row
+    listed = fresh.agg(F.sort_array(F.collect_list(F.struct("path", "name", "parent_path", "depth"))).alias("_all")).join(F.broadcast(top), F.lit(True))
+    made = listed.select("_max", F.posexplode("_all").alias("_i", "_n")).select((F.col("_max") + F.col("_i") + 1).cast("bigint").alias("id"), F.col("_n.parent_path").alias("parent_path"), F.col("_n.name").alias("name"), F.col("_n.path").alias("path"), F.col("_n.depth").alias("depth"))
+    ids = nodes.select("id", "path").unionByName(made.select("id", "path")).select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path"))
+    return nodes.unionByName(made.join(ids, "parent_path", "left").select("id", "parent_id", "name", "path", "depth"))
