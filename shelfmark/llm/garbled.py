@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import mojibake as M
+from shelfmark.session import cut_lineage
 
 #: What keeps words apart: ASCII other than letters, as every legacy encoding leaves ASCII alone.
 WORD_SEPARATOR = r"[\x00-\x40\[-\x60\{-\x7f]+"
@@ -55,7 +56,8 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     """
     suspects = values.filter(F.col("value").rlike(r"[^\x20-\x7e]|\?")).select("value")
     spread = suspects.repartition("value")
-    judged = spread.withColumn("_j", F.pandas_udf(_judge, JUDGEMENT)("value")).select("value", "_j.*")
+    # written down, as it is read four times and costs more than all else
+    judged = cut_lineage(spread.withColumn("_j", F.pandas_udf(_judge, JUDGEMENT)("value")).select("value", "_j.*"))
     counts = word_counts(values)
     words = judged.filter((F.col("layers") == 0) & ~F.col("lossy")).select("value", F.explode(F.array_distinct(F.split("value", WORD_SEPARATOR))).alias("_word")).filter(F.col("_word").rlike(r"[^\x00-\x7f]"))
     own = words.select("_word").distinct().withColumn("_reading", F.explode(F.pandas_udf(_readings, "array<string>")("_word")))
