@@ -23,11 +23,20 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return instants.to_instants(documents, sources, _seen(documents, read_table(spark, base, "scan_jobs"))).distinct()
 
 
+def p2_zones(spark: SparkSession, base: str) -> DataFrame:
+    """(source, zone, violations, evidence, declared_zone): the offset history chosen for each source's clock."""
+    documents, sources = read_table(spark, base, "documents"), read_table(spark, base, "corpus_sources")
+    dated = documents.join(sources.select("source", F.col("date_order").alias("_order")), "source", "left")
+    values = instants.parse_values(dated, "doc_id", ["metadata_created", "metadata_modified"], "source", "_order")
+    declared = sources.select("source", F.col("home_zone").alias("zone"))
+    return instants.estimate_zones(values, _seen(documents, read_table(spark, base, "scan_jobs")), "doc_id", "source", "metadata_created", "metadata_modified", declared)
+
+
 _CATALOGS = (registry_queries.catalog, taxonomy_queries.catalog, workflow_queries.catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for c in _CATALOGS for name, q in c.all.items()} | {"p2_found": p2_found}
+    return {name: q for c in _CATALOGS for name, q in c.all.items()} | {"p2_found": p2_found, "p2_zones": p2_zones}
 
 
 def oracle_sql() -> dict[str, str]:
