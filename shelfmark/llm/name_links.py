@@ -29,7 +29,7 @@ from shelfmark.session import cut_lineage
 
 #: Likelihoods of the channel, and the chance of a different name beside a known one.
 TYPO, INITIAL, LEFT_OUT, OTHER_NAME = 0.01, 0.15, 0.002, 1e-4
-#: Different neighbours that make a word a common one.
+#: Different neighbours, each with fewer neighbours itself, that make a word a common one.
 COMMON = 15
 #: Shortest stem in which one edit is taken for a typo.
 LEAST_STEM = 5
@@ -73,9 +73,11 @@ def clean_names(values: DataFrame) -> DataFrame:
 def lexicon(spelt: DataFrame) -> DataFrame:
     """(word, as_): words of names that are common, as themselves, and their typos, as the common word."""
     pairs = spelt.select(F.inline(F.pandas_udf(_neighbours, "array<struct<word string, other string>>")("value")))
-    seen = pairs.groupBy("word").agg(F.count_distinct(F.when(F.col("other") != F.col("word"), F.col("other"))).alias("beside"))
+    seen = cut_lineage(pairs.groupBy("word").agg(F.count_distinct(F.when(F.col("other") != F.col("word"), F.col("other"))).alias("beside")))
+    # a given name stands beside surnames, which are rarer than itself; a surname beside given names, which are not
+    rarer = pairs.distinct().join(seen, "word").join(seen.select(F.col("word").alias("other"), F.col("beside").alias("_b")), "other").filter("_b < beside").groupBy("word").agg(F.count("*").alias("rarer"))
     static = F.col("word").isin(*sorted(N.STATIC))
-    judged = seen.withColumn("common", static | (F.col("beside") >= COMMON)).withColumn("beside", F.when(static, F.greatest("beside", F.lit(10 * COMMON))).otherwise(F.col("beside")))
+    judged = seen.join(rarer, "word", "left").withColumn("common", static | (F.coalesce("rarer", F.lit(0)) >= COMMON)).withColumn("beside", F.when(static, F.greatest("beside", F.lit(10 * COMMON))).otherwise(F.col("beside")))
     common = judged.filter("common").select("word", "beside")
     own = spelt.sparkSession.createDataFrame([(w, 10 * COMMON) for w in sorted(N.STATIC)], "word string, beside bigint")
     common = common.unionByName(own).groupBy("word").agg(F.max("beside").alias("beside"))
