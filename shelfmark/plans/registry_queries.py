@@ -266,12 +266,15 @@ def reconcile_plan(spark, base):
     return P.reconcile_plan(path_drift(spark, base))
 
 
-_ASKED = "SELECT DISTINCT rel_path FROM document_paths WHERE id % 3 <> 0 UNION SELECT 'no/such/' || id || '.pdf' FROM document_paths WHERE id % 50 = 0"
+# A request to delete: everything under two folders, and paths that were never there.
+_ASKED = "SELECT DISTINCT rel_path FROM document_paths WHERE rel_path LIKE 'Backup/%' OR rel_path LIKE 'Intake/%' UNION SELECT 'no/such/' || rel_path FROM document_paths WHERE rel_path LIKE 'Manuals/%'"
 
 
 def _asked(spark, base):
-    p = read_table(spark, base, "document_paths")
-    return p.filter("id % 3 <> 0").select("rel_path").unionByName(p.filter("id % 50 = 0").select(F.concat(F.lit("no/such/"), "id", F.lit(".pdf")).alias("rel_path"))).distinct()
+    p = read_table(spark, base, "document_paths").select("rel_path")
+    there = p.filter(F.col("rel_path").startswith("Backup/") | F.col("rel_path").startswith("Intake/"))
+    lost = p.filter(F.col("rel_path").startswith("Manuals/")).select(F.concat(F.lit("no/such/"), "rel_path").alias("rel_path"))
+    return there.unionByName(lost).distinct()
 
 
 @query("delete_report", f"""SELECT a.rel_path, CASE WHEN b.rel_path IS NOT NULL AND s.rel_path IS NOT NULL THEN 'deleted' WHEN b.rel_path IS NOT NULL THEN 'only_on_disk' WHEN s.rel_path IS NOT NULL THEN 'only_in_registry' ELSE 'unknown' END AS outcome
@@ -286,8 +289,9 @@ def path_delete(spark, base):
     return P.delete_paths(V.paths(spark, base), _asked(spark, base))[1]
 
 
-_MOVES = """SELECT DISTINCT a.rel_path AS old_path, CASE a.id % 3 WHEN 0 THEN 'Moved/' || a.rel_path ELSE b.rel_path END AS new_path FROM document_paths a JOIN document_paths b ON b.id = a.id + 1 WHERE a.id % 3 <> 2
-    UNION SELECT 'no/such/' || id || '.pdf', rel_path FROM document_paths WHERE id % 50 = 0"""
+# Moves of every path: out of the backup, or onto the path of the next row; and of paths that were never there.
+_MOVES = """SELECT DISTINCT a.rel_path AS old_path, CASE WHEN a.rel_path LIKE 'Backup/%' THEN 'Moved/' || a.rel_path ELSE b.rel_path END AS new_path FROM document_paths a JOIN document_paths b ON b.id = a.id + 1
+    UNION SELECT 'no/such/' || rel_path, rel_path FROM document_paths WHERE rel_path LIKE 'Intake/%'"""
 _OWNERS = "SELECT rel_path, min(sha256) AS sha256 FROM v_paths GROUP BY 1"
 
 
@@ -296,9 +300,10 @@ _OWNERS = "SELECT rel_path, min(sha256) AS sha256 FROM v_paths GROUP BY 1"
 def path_move(spark, base):
     p = read_table(spark, base, "document_paths").select("id", "rel_path")
     nxt = p.select((F.col("id") - 1).alias("id"), F.col("rel_path").alias("_next"))
-    new = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Moved/"), "rel_path")).otherwise(F.col("_next"))
-    moves = p.join(nxt, "id").filter("id % 3 <> 2").select(F.col("rel_path").alias("old_path"), new.alias("new_path"))
-    moves = moves.unionByName(p.filter("id % 50 = 0").select(F.concat(F.lit("no/such/"), "id", F.lit(".pdf")).alias("old_path"), F.col("rel_path").alias("new_path"))).distinct()
+    new = F.when(F.col("rel_path").startswith("Backup/"), F.concat(F.lit("Moved/"), "rel_path")).otherwise(F.col("_next"))
+    moves = p.join(nxt, "id").select(F.col("rel_path").alias("old_path"), new.alias("new_path"))
+    lost = p.filter(F.col("rel_path").startswith("Intake/")).select(F.concat(F.lit("no/such/"), "rel_path").alias("old_path"), F.col("rel_path").alias("new_path"))
+    moves = moves.unionByName(lost).distinct()
     owners = V.paths(spark, base).groupBy("rel_path").agg(F.min("sha256").alias("sha256"))
     return P.move_paths(owners, moves)
 

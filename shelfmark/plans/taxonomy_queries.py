@@ -77,18 +77,18 @@ def child_options(spark, base):
     return T.child_options(V.nodes(spark, base), V.terms(spark, base)).withColumn("terms", F.array_join("terms", "|"))
 
 
-_WANTED = "SELECT 13::BIGINT AS node_id, sha256(c_name) AS sha256 FROM customer WHERE c_custkey % 7 = 0"
+_WANTED = "SELECT 13::BIGINT AS node_id, sha256(c_name) AS sha256 FROM customer WHERE c_mktsegment = 'MACHINERY'"
 
 
 def _wanted(spark, base):
-    return read_table(spark, base, "customer").filter("c_custkey % 7 = 0").select(F.lit(13).cast("bigint").alias("node_id"), F.sha2("c_name", 256).alias("sha256"))
+    return read_table(spark, base, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.lit(13).cast("bigint").alias("node_id"), F.sha2("c_name", 256).alias("sha256"))
 
 
 def _known(spark, base):
-    return read_table(spark, base, "customer").filter("c_custkey % 2 = 0").select(F.sha2("c_name", 256).alias("sha256"))
+    return read_table(spark, base, "customer").filter("c_acctbal >= 0").select(F.sha2("c_name", 256).alias("sha256"))
 
 
-_KNOWN = "SELECT sha256(c_name) FROM customer WHERE c_custkey % 2 = 0"
+_KNOWN = "SELECT sha256(c_name) FROM customer WHERE c_acctbal >= 0"
 
 
 @query("membership_add", f"SELECT node_id, sha256 FROM v_members UNION SELECT node_id, sha256 FROM ({_WANTED}) WHERE sha256 IN ({_KNOWN})")
@@ -123,13 +123,13 @@ def subtree_delete(spark, base):
     return out
 
 
-_ANEW = "SELECT node_id, sha256, assigned_child_id, 'high' AS confidence, 'pending' AS status FROM v_assign WHERE substr(sha256, 1, 1) < '8'"
+_ANEW = "SELECT node_id, sha256, assigned_child_id, 'high' AS confidence, 'pending' AS status FROM v_assign WHERE confidence IS DISTINCT FROM 'high'"
 
 
-@query("assignment_upsert", f"SELECT * FROM v_assign WHERE status = 'applied' OR substr(sha256, 1, 1) >= '8' UNION ALL SELECT n.* FROM ({_ANEW}) n JOIN v_assign a ON a.node_id = n.node_id AND a.sha256 = n.sha256 WHERE a.status <> 'applied'")
+@query("assignment_upsert", f"SELECT * FROM v_assign WHERE status = 'applied' OR confidence IS NOT DISTINCT FROM 'high' UNION ALL SELECT n.* FROM ({_ANEW}) n JOIN v_assign a ON a.node_id = n.node_id AND a.sha256 = n.sha256 WHERE a.status <> 'applied'")
 def assignment_upsert(spark, base):
     old = V.assignments(spark, base)
-    new = old.filter(F.substring("sha256", 1, 1) < "8").withColumn("confidence", F.lit("high")).withColumn("status", F.lit("pending"))
+    new = old.filter(~F.col("confidence").eqNullSafe("high")).withColumn("confidence", F.lit("high")).withColumn("status", F.lit("pending"))
     return T.upsert_assignments(old, new)
 
 

@@ -31,12 +31,13 @@ def active_prompt(spark, base):
     return S.active_prompts(read_table(spark, base, "prompts")).select("workflow_name", "id", "prompt_version")
 
 
-_NEW_PROMPTS = "SELECT workflow_name, model_provider, model, CASE WHEN id % 3 = 0 THEN prompt_version || '-next' ELSE prompt_version END AS prompt_version, 'new text ' || id AS prompt_text, NOT active AS active, updated_at FROM prompts WHERE id % 2 = 0 OR id % 3 = 0"
+# Every prompt anew: active ones in a next version, the others with another text.
+_NEW_PROMPTS = "SELECT workflow_name, model_provider, model, CASE WHEN active THEN prompt_version || '-next' ELSE prompt_version END AS prompt_version, 'new text ' || id AS prompt_text, NOT active AS active, updated_at FROM prompts"
 
 
 def _new_prompts(spark, base):
-    p = read_table(spark, base, "prompts").filter("id % 2 = 0 or id % 3 = 0")
-    version = F.when(F.col("id") % 3 == 0, F.concat("prompt_version", F.lit("-next"))).otherwise(F.col("prompt_version"))
+    p = read_table(spark, base, "prompts")
+    version = F.when(F.col("active"), F.concat("prompt_version", F.lit("-next"))).otherwise(F.col("prompt_version"))
     return p.select("workflow_name", "model_provider", "model", version.alias("prompt_version"), F.concat(F.lit("new text "), "id").alias("prompt_text"), (~F.col("active")).alias("active"), "updated_at")
 
 
@@ -79,18 +80,16 @@ def suggestion_restore(spark, base):
     return R.carry_over(read_table(spark, base, "llm_document_suggestions"), known).select("id", "sha256", "prompt_id")
 
 
-_RESPONSES = f"SELECT sha256, prompt_id + id % 2 AS prompt_id, 'Revised ' || coalesce(suggested_author, '?') AS suggested_author, updated_at FROM {_SUGGESTIONS} WHERE id % 5 = 0 UNION ALL SELECT 'unknown-' || id, prompt_id, 'Nobody', updated_at FROM llm_document_suggestions WHERE id % 40 = 0"
-
 
 def _responses(spark, base):
     s = _suggestions(spark, base)
-    known = s.filter("id % 5 = 0").select("sha256", (F.col("prompt_id") + F.col("id") % 2).alias("prompt_id"), F.concat(F.lit("Revised "), F.coalesce("suggested_author", F.lit("?"))).alias("suggested_author"), "updated_at", "id")
+    known = s.filter("status = 'pending'").select("sha256", (F.col("prompt_id") + F.col("id") % 2).alias("prompt_id"), F.concat(F.lit("Revised "), F.coalesce("suggested_author", F.lit("?"))).alias("suggested_author"), "updated_at", "id")
     known = known.groupBy("sha256", "prompt_id").agg(F.max(F.struct("id", "suggested_author", "updated_at")).alias("r")).select("sha256", "prompt_id", "r.suggested_author", "r.updated_at")
-    lost = read_table(spark, base, "llm_document_suggestions").filter("id % 40 = 0").select(F.concat(F.lit("unknown-"), "id").alias("sha256"), "prompt_id", F.lit("Nobody").alias("suggested_author"), "updated_at")
+    lost = read_table(spark, base, "llm_document_suggestions").filter("status = 'rejected'").select(F.concat(F.lit("unknown-"), "id").alias("sha256"), "prompt_id", F.lit("Nobody").alias("suggested_author"), "updated_at")
     return known.unionByName(lost)
 
 
-@query("suggestion_upsert", f"""WITH s AS {_SUGGESTIONS}, r AS (SELECT sha256, prompt_id, suggested_author FROM (SELECT *, row_number() OVER (PARTITION BY sha256, prompt_id ORDER BY id DESC) AS k FROM (SELECT id, sha256, prompt_id + id % 2 AS prompt_id, 'Revised ' || coalesce(suggested_author, '?') AS suggested_author FROM s WHERE id % 5 = 0)) WHERE k = 1 AND sha256 IN (SELECT sha256 FROM v_docs))
+@query("suggestion_upsert", f"""WITH s AS {_SUGGESTIONS}, r AS (SELECT sha256, prompt_id, suggested_author FROM (SELECT *, row_number() OVER (PARTITION BY sha256, prompt_id ORDER BY id DESC) AS k FROM (SELECT id, sha256, prompt_id + id % 2 AS prompt_id, 'Revised ' || coalesce(suggested_author, '?') AS suggested_author FROM s WHERE status = 'pending')) WHERE k = 1 AND sha256 IN (SELECT sha256 FROM v_docs))
     SELECT s.sha256, s.prompt_id, coalesce(r.suggested_author, s.suggested_author) AS suggested_author, CASE WHEN r.sha256 IS NOT NULL THEN 'pending' ELSE s.status END AS status, s.applied FROM s LEFT JOIN r ON r.sha256 = s.sha256 AND r.prompt_id = s.prompt_id
     UNION ALL SELECT r.sha256, r.prompt_id, r.suggested_author, 'pending', false FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.sha256 = r.sha256 AND s.prompt_id = r.prompt_id)""")
 def suggestion_upsert(spark, base):
