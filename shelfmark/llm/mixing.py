@@ -5,7 +5,7 @@ marginal has the target shares and the language and topic marginals have the sha
 documents, weights never over the cap on repeats; the last step is over sources, whose shares are what is asked for.  A
 document's expected number of uses is its cell's weight: the whole part is given to every document of
 the cell, the fraction by sequential Poisson sampling, in which documents come in the order of u / p (u: a
-hash of mix and document, p: the fraction) until the source's tokens are met to within half a document.
+hash of mix and document, p: the fraction) until the source's tokens are met to within half a document; one or two documents more or less then close most of that gap.
 
 The size of a mix is the largest for which no source must exceed its cap, unless ``size`` (tokens) is given.  Sources
 without documents can have no share; the others keep their proportions, and the report shows the target missed.
@@ -23,6 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut_lineage
+
+#: Documents by which each source's tokens are brought nearer to its goal after sampling.
+REFINEMENTS = 2
 #: Ranges of u / p in which running sums are taken, so that no task has to order a whole source.
 RANGES = 4096
 #: Classes of topics; rarer names share classes by their hash, so that the number of cells has a bound.
@@ -116,8 +120,28 @@ def mix(sizes: DataFrame, targets: DataFrame, size: float | None = None, seed: s
     before = F.col("_start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     ordered = ranged.filter(~whole & part).withColumn("_more", (before + F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
     fraction = settled.unionByName(ordered)
-    rows = fraction.select("mix_name", "key", "source", "tokens", (F.col("whole") + F.col("_more")).alias("repeats")).unionByName(uses.filter("xi is null").select("mix_name", "key", "source", "tokens", F.col("whole").alias("repeats")))
-    return rows.filter("repeats > 0")
+    cols = ["mix_name", "key", "source", "tokens"]
+    rows = fraction.select(*cols, (F.col("whole") + F.col("_more")).alias("repeats")).unionByName(uses.filter("xi is null").select(*cols, F.col("whole").alias("repeats")))
+    caps = spark.createDataFrame([(m, s, int(v[1])) for m, r in rules.items() for s, v in r.items()] or [("", "", 0)], "mix_name string, source string, cap int")
+    rows = cut_lineage(rows.join(caps, ["mix_name", "source"]))
+    for _ in range(REFINEMENTS):
+        rows = _refine(rows, goal)
+    return rows.filter("repeats > 0").select(*cols, "repeats")
+
+
+def _refine(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """One document more or less for each source of each mix where that brings its tokens nearer to the goal.
+
+    Of all documents with room (or use) the one whose tokens are nearest to what is missing (or too much); ties go to the least key.
+    """
+    given = rows.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("_given"))
+    off = given.join(goal, ["mix_name", "source"]).select("mix_name", "source", (F.col("goal") - F.col("_given")).alias("_off"))
+    both = rows.join(off, ["mix_name", "source"])
+    step = F.when((F.col("_off") > 0) & (F.col("repeats") < F.col("cap")), 1).when((F.col("_off") < 0) & (F.col("repeats") > 0), -1)
+    left = F.abs(F.col("_off") - F.col("tokens") * step)
+    best = both.filter(step.isNotNull() & (left < F.abs("_off"))).groupBy("mix_name", "source").agg(F.min(F.struct(left.alias("left"), "key", step.alias("step"))).alias("_b"))
+    change = best.select("mix_name", "source", F.col("_b.key").alias("key"), F.col("_b.step").alias("_step"))
+    return cut_lineage(rows.join(change, ["mix_name", "source", "key"], "left").select("mix_name", "source", "key", "tokens", (F.col("repeats") + F.coalesce("_step", F.lit(0))).alias("repeats"), "cap"))
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
