@@ -31,6 +31,10 @@ from shelfmark.session import cut_lineage
 TYPO, INITIAL, LEFT_OUT, OTHER_NAME = 0.01, 0.15, 0.002, 1e-4
 #: Different neighbours, each with fewer neighbours itself, that make a word a common one.
 COMMON = 15
+#: Rows of names with a common word for each row of the same names with its typo.
+LEAST_TIMES = 2
+#: Rows of a fixed word for each row of its typo, where no equal names tell.
+RARE_TIMES = 10
 #: Shortest stem in which one edit is taken for a typo.
 LEAST_STEM = 5
 ROUNDS = 5
@@ -44,6 +48,10 @@ def _neighbours(values: pd.Series) -> pd.Series:
     return values.map(N.neighbours)
 
 
+def _rests(values: pd.Series) -> pd.Series:
+    return values.map(N.rests)
+
+
 def _deletions(values: pd.Series) -> pd.Series:
     return values.map(N.deletions)
 
@@ -77,17 +85,39 @@ def lexicon(spelt: DataFrame) -> DataFrame:
     # a given name stands beside surnames, which are rarer than itself; a surname beside given names, which are not
     rarer = pairs.distinct().join(seen, "word").join(seen.select(F.col("word").alias("other"), F.col("beside").alias("_b")), "other").filter("_b < beside").groupBy("word").agg(F.count("*").alias("rarer"))
     static = F.col("word").isin(*sorted(N.STATIC))
-    judged = seen.join(rarer, "word", "left").withColumn("common", static | (F.coalesce("rarer", F.lit(0)) >= COMMON)).withColumn("beside", F.when(static, F.greatest("beside", F.lit(10 * COMMON))).otherwise(F.col("beside")))
-    common = judged.filter("common").select("word", "beside")
-    own = spelt.sparkSession.createDataFrame([(w, 10 * COMMON) for w in sorted(N.STATIC)], "word string, beside bigint")
-    common = common.unionByName(own).groupBy("word").agg(F.max("beside").alias("beside"))
+    common = seen.join(rarer, "word", "left").filter(static | (F.coalesce("rarer", F.lit(0)) >= COMMON)).select("word")
+    common = common.unionByName(spelt.sparkSession.createDataFrame([(w,) for w in sorted(N.STATIC)], "word string")).distinct()
     dels = F.pandas_udf(_deletions, "array<string>")
-    rare = judged.filter(~static).filter(F.length("word") > 2).select(F.col("word").alias("typo"), F.col("beside").alias("b"), F.explode(dels("word")).alias("d"))
-    near = rare.join(common.filter(F.length("word") > 2).select(F.col("word").alias("as_"), "beside", F.explode(dels("word")).alias("d")), "d").filter("typo <> as_ and b * 5 <= beside").drop("d").distinct()
-    typos = near.filter(F.pandas_udf(_one_edit, "boolean")("typo", "as_")).groupBy(F.col("typo").alias("word")).agg(F.max_by("as_", F.struct("beside", "as_")).alias("as_"))
+    rare = seen.filter(~static).filter(F.length("word") > 2).select(F.col("word").alias("typo"), F.explode(dels("word")).alias("d"))
+    near = rare.join(common.filter(F.length("word") > 2).select(F.col("word").alias("as_"), F.explode(dels("word")).alias("d")), "d").filter("typo <> as_").drop("d").distinct()
+    near = cut_lineage(near.filter(F.pandas_udf(_one_edit, "boolean")("typo", "as_")))
+    typos = _typos(near, spelt)
     return common.select("word", F.col("word").alias("as_")).join(typos, "word", "left_anti").unionByName(typos)
 
 
+def _typos(near: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(word, as_): the words of (typo, as_), one edit apart, that are written for the common word.
+
+    Judged by names that are equal but for the word: in most of those with the typo, and in ``LEAST_TIMES`` as many rows,
+    the common word must stand in its place; a fixed word need not be in more rows there, so that one typo repeated in many
+    rows doesn't vouch for itself, but must be in ``LEAST_TIMES`` as many different names.  Rare names may lack that witness: a fixed word is also put right where it has
+    ``RARE_TIMES`` the rows of its typo in the whole table, and a long fixed word of organisations always.  Only shares and ratios
+    count, so that the size of the table doesn't matter.
+    """
+    inside = spelt.select(F.inline(F.pandas_udf(_rests, "array<struct<word string, rest bigint>>")("value")), "n").groupBy("word", "rest").agg(F.sum("n").alias("n"))
+    typo = near.join(inside.select(F.col("word").alias("typo"), "rest", F.col("n").alias("n_typo")), "typo")
+    both = typo.join(inside.select(F.col("word").alias("as_"), "rest", F.col("n").alias("n_as")), ["as_", "rest"], "left")
+    sums = both.groupBy("typo", "as_").agg(F.count("*").alias("names"), F.count("n_as").alias("met"), F.sum(F.when(F.col("n_as").isNotNull(), F.col("n_typo"))).alias("n_typo"), F.sum("n_as").alias("n_as"))
+    total = inside.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("names"))
+    sums = sums.join(total.select(F.col("word").alias("as_"), F.col("names").alias("names_as")), "as_")
+    of_fixed = F.col("as_").isin(*sorted(N.STATIC)) & (F.least(F.length("typo"), F.length("as_")) >= LEAST_STEM) & (F.col("names_as") >= LEAST_TIMES * F.col("names"))
+    met = sums.filter((F.col("met") * 2 >= F.col("names")) & ((F.col("n_as") >= LEAST_TIMES * F.col("n_typo")) | of_fixed))
+    long = F.least(F.length("typo"), F.length("as_")) >= LEAST_STEM
+    fixed = near.filter(F.col("as_").isin(*sorted(N.STATIC)) & long).join(total.select(F.col("word").alias("typo"), F.col("n").alias("n_typo")), "typo", "left").join(total.select(F.col("word").alias("as_"), F.col("n").alias("n_all")), "as_", "left")
+    fixed = fixed.filter(F.col("as_").isin(*sorted(N.LONG_FIXED)) | (F.col("n_all") >= RARE_TIMES * F.col("n_typo"))).select("typo", "as_", F.lit(None).cast("bigint").alias("n_as"))
+    return met.select("typo", "as_", "n_as").unionByName(fixed).groupBy(F.col("typo").alias("word")).agg(F.max_by("as_", F.struct("n_as", "as_")).alias("as_"))
+
+
 def read_names(spelt: DataFrame) -> DataFrame:
     """(value, n, kind, part, stem) of the spellings that name one person or organisation."""
     words = spelt.select("value", F.explode(F.pandas_udf(_words, "array<string>")("value")).alias("word"))

@@ -26,6 +26,8 @@ SMALL = frozenset("the of for and und et y de la der die das fur des du".split()
 # Fields of study that institutes are named after.
 FIELDS = frozenset("applied mechanics hydrography hydrology optics metrology computation soil science sciences marine biology archive archives studies physics chemistry mathematics geology history law economics engineering medicine technology statistics astronomy linguistics philosophy".split())
 STATIC = frozenset(GIVEN) | frozenset(KINDS) | LEGAL | FIELDS | frozenset(["and", "of", "the", "phd", "prof"])
+#: Fixed words of organisations so long that a word one edit away is no other word.
+LONG_FIXED = frozenset(w for w in frozenset(KINDS) | LEGAL | FIELDS if len(w) >= 8)
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 _MANY = re.compile(r";|&|\band\b|\bund\b|\bet al\b|\bwith\b|/", re.IGNORECASE)
 
@@ -89,6 +91,14 @@ def neighbours(name: str) -> list[tuple[str, str]]:
     return sorted({p for a, b in zip(words, words[1:]) for p in ((a, b), (b, a))})
 
 
+def rests(name: str) -> list[tuple[str, int]]:
+    """(word, rest): each word of a name with a number for its other words, in any order; none where there is no other."""
+    words = sorted(set(words_for_lexicon(name)))
+    codes = [0 if w in LEGAL or w in SMALL else int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=7).digest()) for w in words]
+    whole = sum(codes)
+    return [(w, (whole - c) % 2**56) for w, c in zip(words, codes) if whole != c]
+
+
 def read_name(name: str, known: Mapping[str, str]) -> tuple[str, str, str] | None:
     """(kind, part, stem) of a name of one person or organisation, or None.
 

@@ -39,6 +39,18 @@ def test_groups_are_linked_and_kept_apart(spark):
     assert len(set(ids)) == len(GROUPS)
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_typos_of_common_words_at_any_size(spark, times):
+    """As many names with the typo as a tenth of the table's growth brings: the outcome is the same."""
+    letters = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnr"][: 8 * times]
+    pairs = [(f"University of Qu{x}{x[::-1]}vik", f"Univeristy of Qu{x}{x[::-1]}vik") for x in letters] + [(f"Zo{x}{x[::-1]}tep & Sons Ltd", f"Zo{x}{x[::-1]}tep & Sns Ltd") for x in letters]
+    apart = [(f"Dan Wa{x}{x[::-1]}gorf", f"Jan Wa{x}{x[::-1]}gorf") for x in letters]
+    got = classes(spark, {v: n for p in pairs for v, n in zip(p, (3, 1))} | {v: 5 for p in apart for v in p})
+    assert all(got.get(a) == got.get(b) is not None for a, b in pairs)
+    assert all(got[a] != got[b] for a, b in apart)
+    assert len({got[a] for a, _ in pairs}) == len(pairs)
+
+
 def test_pairs(spark):
     g = {v: n for v, n in itertools.islice(GROUPS[0].items(), 4)}
     rows = spark.createDataFrame(list(g.items()), "value string, n bigint")
