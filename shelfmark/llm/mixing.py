@@ -2,7 +2,8 @@
 
 Tokens are counted per cell (source, language, topic).  For each mix the cells' weights are raked until the source
 marginal has the target shares and the language and topic marginals have the shares that they have among the mix's
-documents, weights never over the cap on repeats; the last step is over sources, whose shares are what is asked for.  A
+documents, weights never over the cap on repeats; the last step is over sources, whose shares are what is asked for.  Topics have no
+bound, so that more than ``DRIVER_CELLS`` cells stay a table with a row per topic (``rake_table``).  A
 document's expected number of uses is its cell's weight: the whole part is given to every document of
 the cell, the fraction by sequential Poisson sampling, in which documents come in the order of u / p (u: a
 hash of mix and document, p: the fraction) until the source's tokens are met to within half a document; one or two documents more or less then close most of that gap.
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from shelfmark.session import cut_lineage
 REFINEMENTS = 2
 #: Ranges of u / p in which running sums are taken, so that no task has to order a whole source.
 RANGES = 4096
-#: Classes of topics; rarer names share classes by their hash, so that the number of cells has a bound.
-TOPICS = 64
+#: Most cells that the driver rakes; a table with more of them is raked where it lies.
+DRIVER_CELLS = 20_000
 
 
 def rake(cells: Mapping[tuple, float], shares: Mapping[str, float], caps: Mapping[str, float], size: float | None = None, rounds: int = 50, tolerance: float = 1e-6) -> tuple[dict[tuple, float], float]:
@@ -53,7 +55,8 @@ def rake(cells: Mapping[tuple, float], shares: Mapping[str, float], caps: Mappin
     others = []
     for part in (1, 2):
         classes = sorted({k[part] for k in keys}, key=lambda x: (x is None, str(x)))
-        at = np.array([classes.index(k[part]) for k in keys])
+        place = {c: i for i, c in enumerate(classes)}
+        at = np.array([place[k[part]] for k in keys])
         natural = np.bincount(at, tokens)
         others.append((at, natural / natural.sum() * total))
     weights = wanted[src] / have[src]
@@ -81,27 +84,118 @@ def _to_sources(weights, tokens, src, wanted, cap):
     return weights + (cap - weights) * np.minimum(short / np.maximum(slack, 1e-12), 1)[src]
 
 
+def _topic_weights(parts, goal: float, a: Mapping, b: Mapping, caps: Mapping) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, weights, caps) of one topic's cells: the least of cap and a * b * c, where c gives the topic its goal."""
+    tokens = np.array([p["t"] for p in parts], dtype=float)
+    v = np.array([a[p["source"]] * b[p["language"]] for p in parts])
+    cap = np.array([caps[p["source"]] for p in parts])
+    turn = cap / v
+    order = np.argsort(turn, kind="stable")
+    capped = np.concatenate([[0.0], np.cumsum((tokens * cap)[order])[:-1]])
+    free = np.cumsum((tokens * v)[order][::-1])[::-1]
+    c = np.maximum(goal - capped, 0.0) / free
+    fits = np.flatnonzero(c <= turn[order])
+    return tokens, (np.minimum(c[fits[0]] * v, cap) if len(fits) else cap), cap
+
+
+def rake_table(cells: DataFrame, shares: Mapping[str, float], caps: Mapping[str, float], size: float | None = None, rounds: int = 60, tolerance: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
+    """((source, language, topic, weight), tokens of each source) for cells (source, language, topic, t) of any number of topics.
+
+    A weight is the least of the source's cap and a(source) * b(language) * c(topic).  Given a and b each topic finds its c by
+    itself, so that a round is one pass over the table that brings back the totals of sources and languages, and nothing else.
+    """
+    spark = cells.sparkSession
+    named = [s for s in shares if shares[s] > 0 and caps.get(s, 0) > 0]
+    used = cells.filter(F.col("source").isin(named) & (F.col("t") > 0))
+    have = {r["source"]: float(r["t"]) for r in used.groupBy("source").agg(F.sum("t").alias("t")).collect()}
+    spoken = {r["language"]: float(r["t"]) for r in used.groupBy("language").agg(F.sum("t").alias("t")).collect()}
+    if not have:
+        return spark.createDataFrame([], "source string, language string, topic string, weight double"), {}
+    whole, parted = sum(have.values()), sum(shares[s] for s in have)
+    cap = {s: float(caps[s]) for s in have}
+    largest = min(cap[s] * have[s] * parted / shares[s] for s in have)
+    total = largest if size is None else min(float(size), largest)
+    wanted = {s: shares[s] / parted * total for s in have}
+    topics = cut_lineage(used.groupBy("topic").agg(F.collect_list(F.struct("source", "language", F.col("t").cast("double").alias("t"))).alias("parts")))
+
+    def totals(a: dict, b: dict) -> dict[tuple, tuple[float, float]]:
+        def run(batches):
+            sums: dict[tuple, list[float]] = {}
+            for frame in batches:
+                for parts in frame["parts"]:
+                    tokens, weights, most = _topic_weights(parts, sum(p["t"] for p in parts) / whole * total, a, b, cap)
+                    for p, t, w, m in zip(parts, tokens, weights, most):
+                        for key in (("source", p["source"]), ("language", p["language"])):
+                            got = sums.setdefault(key, [0.0, 0.0])
+                            got[0] += t * w
+                            got[1] += t * (m - w)
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["kind", "name", "now", "slack"])
+
+        rows = topics.mapInPandas(run, "kind string, name string, now double, slack double").groupBy("kind", "name").agg(F.sum("now").alias("now"), F.sum("slack").alias("slack"))
+        return {(r["kind"], r["name"]): (r["now"], r["slack"]) for r in rows.collect()}
+
+    a, b = {s: wanted[s] / have[s] for s in have}, dict.fromkeys(spoken, 1.0)
+    for i in range(rounds):
+        now = totals(a, b)
+        steps = {s: wanted[s] / max(now["source", s][0], 1e-12) for s in a}, {x: spoken[x] / whole * total / max(now["language", x][0], 1e-12) for x in b}
+        if max(abs(f - 1) for step in steps for f in step.values()) < tolerance:
+            break
+        for factors, step in ((a, steps[0]),) if i % 2 == 0 else ((b, steps[1]),):
+            for name, f in step.items():
+                factors[name] = min(max(factors[name] * f, 1e-9), 1e9)
+    now = totals(a, b)
+
+    def weigh(parts: pd.Series) -> pd.Series:
+        out = []
+        for cells_ in parts:
+            _, weights, most = _topic_weights(cells_, sum(p["t"] for p in cells_) / whole * total, a, b, cap)
+            row = []
+            for p, w, m in zip(cells_, weights, most):
+                got, slack = now["source", p["source"]]
+                want = wanted[p["source"]]
+                row.append(float(w * want / got if got > want else w + (m - w) * min((want - got) / max(slack, 1e-12), 1.0)))
+            out.append(row)
+        return pd.Series(out)
+
+    zipped = topics.select("topic", F.explode(F.arrays_zip("parts", F.pandas_udf(weigh, "array<double>")("parts").alias("weight"))).alias("_c"))
+    return zipped.select("_c.parts.source", "_c.parts.language", "topic", "_c.weight"), wanted
+
+
 def mix(sizes: DataFrame, targets: DataFrame, size: float | None = None, seed: str = "mix") -> DataFrame:
     """(mix_name, key, source, tokens, repeats) of the chosen documents.
 
     ``sizes``: (key, source, language, topic, tokens), keys unique; ``targets``: (mix_name, source, target_share, max_repeats).
-    Only cell totals reach the driver: sources of the mixes x languages x ``TOPICS``.
+    Only totals reach the driver: at most ``DRIVER_CELLS`` cells, or those of the mixes' sources and of the languages.
     """
     wanted = targets.filter("target_share > 0 and max_repeats > 0").groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     rules: dict[str, dict[str, tuple[float, int]]] = {}
     for r in wanted.collect():  # a row per rule written by hand
         rules.setdefault(r["mix_name"], {})[r["source"]] = (r["target_share"], r["max_repeats"])
     named = sorted({s for m in rules.values() for s in m})
-    docs = sizes.filter((F.col("tokens") > 0) & F.col("source").isin(named)).withColumn("topic", F.when(F.col("topic").isNotNull(), F.pmod(F.xxhash64("topic"), F.lit(TOPICS))))
-    cells = {(r["source"], r["language"], r["topic"]): float(r["t"]) for r in docs.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("t")).collect()}
-    plan_rows, goals = [], []
-    for name, sources in sorted(rules.items()):
-        weights, total = rake(cells, {s: v[0] for s, v in sources.items()}, {s: v[1] for s, v in sources.items()}, size)
-        plan_rows += [(name, *k, w) for k, w in weights.items()]
-        for s in sources:
-            goals.append((name, s, float(sum(w * cells[k] for k, w in weights.items() if k[0] == s))))
+    docs = sizes.filter((F.col("tokens") > 0) & F.col("source").isin(named))
+    totals = cut_lineage(docs.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("t")))
     spark = sizes.sparkSession
-    plan = spark.createDataFrame(plan_rows or [("", "", None, None, 0.0)], "mix_name string, source string, language string, topic bigint, weight double")
+    small = totals.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS
+    cells = {(r["source"], r["language"], r["topic"]): float(r["t"]) for r in totals.collect()} if small else {}
+    plan_rows, goals, plan = [], [], None
+    for name, sources in sorted(rules.items()):
+        share, cap = {s: v[0] for s, v in sources.items()}, {s: v[1] for s, v in sources.items()}
+        given = dict.fromkeys(sources, 0.0)
+        if small:
+            weights, _ = rake(cells, share, cap, size)
+            plan_rows += [(name, *k, w) for k, w in weights.items()]
+            for k, w in weights.items():
+                given[k[0]] += w * cells[k]
+        else:
+            table, reached = rake_table(totals, share, cap, size)
+            given |= reached
+            table = table.select(F.lit(name).alias("mix_name"), "source", "language", "topic", "weight")
+            plan = table if plan is None else plan.unionByName(table)
+        goals += [(name, s, float(g)) for s, g in given.items()]
+    if plan is None:
+        plan = spark.createDataFrame(plan_rows or [("", "", None, None, 0.0)], "mix_name string, source string, language string, topic string, weight double")
+    else:
+        plan = cut_lineage(plan)
     goal = spark.createDataFrame(goals or [("", "", 0.0)], "mix_name string, source string, goal double")
     p = plan.select("mix_name", F.col("source").alias("_s"), F.col("language").alias("_l"), F.col("topic").alias("_t"), "weight")
     uses = docs.join(p, (F.col("source") == F.col("_s")) & F.col("language").eqNullSafe(F.col("_l")) & F.col("topic").eqNullSafe(F.col("_t")))

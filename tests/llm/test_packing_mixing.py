@@ -97,6 +97,42 @@ def test_rake_keeps_caps_and_sources():
     assert mixing.rake({}, {"a": 1.0}, {"a": 1}) == ({}, 0.0)
 
 
+@pytest.mark.parametrize("on_driver", [20_000, 10])
+def test_every_topic_keeps_its_share(spark, monkeypatch, on_driver):
+    """More topics than 64, of unequal use by source; on the driver or as a table."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", on_driver)
+    rows, key = [], 0
+    for topic in range(90):
+        for source, n in (("a", 8 + topic % 7 * 6), ("b", 8 + (90 - topic) % 5 * 8)):
+            for _ in range(n):
+                rows.append((key, source, ("en", "de", None)[key % 3], f"topic {topic}" if topic else None, 10 + key % 5))
+                key += 1
+    t = spark.createDataFrame([("m", "a", 0.7, 4), ("m", "b", 0.3, 4)], TARGETS)
+    chosen = mixing.mix(spark.createDataFrame(rows, SIZES), t, size=2.0 * sum(r[4] for r in rows)).collect()
+    topic_of, natural, got, by = {r[0]: r[3] for r in rows}, Counter(), Counter(), Counter()
+    for r in rows:
+        natural[r[3]] += r[4]
+    for x in chosen:
+        got[topic_of[x.key]] += x.tokens * x.repeats
+        by[x.source] += x.tokens * x.repeats
+    whole, used = sum(natural.values()), sum(got.values())
+    off = [abs(got[k] / used / (natural[k] / whole) - 1) for k in natural]
+    assert abs(by["a"] / used - 0.7) < 0.005 and max(x.repeats for x in chosen) <= 4
+    assert sum(off) / len(off) < 0.06, sum(off) / len(off)
+
+
+def test_table_is_raked_as_on_the_driver(spark):
+    r = random.Random(5)
+    cells = {(s, x, f"t{t}"): float(r.randrange(1, 100)) for s in "abc" for x in ("en", "de") for t in range(80)}
+    share, cap = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 2, "b": 3, "c": 5}
+    table = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, language string, topic string, t double")
+    weights, total = mixing.rake(cells, share, cap, 12_000.0, 500)
+    got, reached = mixing.rake_table(table, share, cap, 12_000.0)
+    got = {(x.source, x.language, x.topic): x.weight for x in got.collect()}
+    assert got.keys() == weights.keys() and all(abs(got[k] - w) < 0.01 * w for k, w in weights.items())
+    assert abs(sum(reached.values()) - total) < 1e-6
+
+
 def test_mix_edges(spark):
     t = spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)
     assert mixing.mix(spark.createDataFrame([], SIZES), t).count() == 0
