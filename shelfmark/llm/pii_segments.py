@@ -71,6 +71,8 @@ _BEFORE_ENGLISH = re.compile(rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_SP}\d+[
 _AFTER_ENGLISH = re.compile(rf"\.?(?:,{_SP}(?:Flat|Apt\.?|Unit|Suite){_SP}\d+[A-Za-z]?)?(?:,{_SP}{_WORD}(?:{_SP}{_WORD})?)?(?:,?{_SP}\d{{5}}(?!\d))?")
 _AFTER_GERMAN = re.compile(rf"\.?{_SP}\d{{1,4}}{_S}[a-z]?(?!\w){_PLACE}")
 _CJK_ADDRESS = re.compile(r"[一-鿿]{2,14}(?:路|街|大道|巷|胡同)\d{1,5}号(?:[一-鿿\d]{1,8}(?:室|楼|单元))?|(?:東京都|北海道|(?:京都|大阪)府|[一-鿿]{2,3}県)[一-鿿ぁ-んァ-ン]{1,12}\d{1,3}(?:丁目|[-－]\d{1,3}){1,3}")
+#: Every match of the pattern holds one of these.
+_CJK_SIGNS = ("号", "県", "東京都", "北海道", "京都府", "大阪府")
 
 # Words that say what stands beside them.
 CUES = {
@@ -191,7 +193,7 @@ def _streets(text: str, out: list[Segment]) -> None:
             _address(text, m.start(), n.end(), "street_first", out)
         if m[0][0].islower() and (n := _AFTER_FRENCH.match(text, m.end())) and (b := _BEFORE_FRENCH.search(text, max(0, m.start() - 16), m.start())):
             _address(text, b.start(), n.end(), "number_street", out)
-    if any("一" <= c <= "鿿" for c in text[:200]) or "号" in text or "県" in text:
+    if any(sign in text for sign in _CJK_SIGNS):
         for m in _CJK_ADDRESS.finditer(text):
             _address(text, m.start(), m.end(), "cjk", out)
 

@@ -4,6 +4,8 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import pytest
+
 from shelfmark.llm import pii, pii_model, pii_segments
 
 
@@ -63,6 +65,14 @@ def test_segments_and_edges(spark):
     assert pii.find_segments(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("address", ["東京都新宿区西新宿2-8-1", "北海道札幌市中央3-2-4", "大阪府堺市北町5-12", "京都府宇治市東町4-7", "北京路12号"])
+@pytest.mark.parametrize("front", ["Printed in the valley. " * 20, "これはまえがきです。" * 30])
+def test_addresses_behind_a_front_of_other_letters(address, front):
+    text = f"{front}住所: {address}"
+    got = [text[s:e] for s, e, k in pii_model.decode(pii_segments.candidates(text), pii_model.fitted()) if k == "address"]
+    assert got == [address]
+
+
 def test_joint_choice():
     text = "Proofs were read by Durpirbird, Theodore, I. Gondormel and Zoë Zorgudur."
     got = [text[s:e] for s, e, k in pii_model.decode(pii_segments.candidates(text), pii_model.fitted()) if k == "name"]
