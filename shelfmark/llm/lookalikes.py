@@ -166,7 +166,7 @@ def consistent_forms(values: DataFrame, least_ratio: float = 10.0, least_count:
     known = options.withColumn("_r", F.lower("reading")).withColumn("_t", F.lower("token"))
     known = known.join(words.select(F.col("word").alias("_r"), F.col("n").alias("n_reading")), "_r").join(words.select(F.col("word").alias("_t"), F.col("n").alias("n_token")), "_t", "left")
     other = (F.col("n_reading") >= least_count) & (F.col("n_reading") >= least_ratio * F.coalesce("n_token", F.lit(0)))
-    taken = known.filter(F.when(F.col("mixed"), F.col("n_reading") >= F.coalesce("n_token", F.lit(0))).otherwise(other))
+    taken = known.filter(F.col("mixed") | other)
     best = taken.groupBy("token").agg(F.max_by("reading", F.struct("n_reading", (F.col("script") == F.col("dominant")).cast("int"), "reading")).alias("reading"))
     put = in_values.join(best, "token").groupBy("field", "row_id").agg(F.sort_array(F.collect_list(F.struct(F.length("token").alias("l"), "token", "reading")), asc=False).alias("_pairs"))
     joined = others.join(put, ["field", "row_id"], "left")

@@ -25,6 +25,12 @@ def test_scripts_by_corpus(spark):
     assert got == {len(clean) + i: v for i, v in enumerate(bad.values())}
 
 
+def test_repeated_damage_does_not_vouch_for_itself(spark):
+    clean = ["Датчики уровня", "Handbook of Sensors"]
+    bad = ["Дaтчики уровня"] * 40 + ["Handbоok of Sensors"] * 40
+    assert run(spark, [*clean, *bad]) == {i + 2: clean[i >= 40] for i in range(80)}
+
+
 def test_not_in_vocabulary_stays(spark):
     assert run(spark, ["Qwertzцy alone", "ОсновыTeXдля"]) == {}
 
