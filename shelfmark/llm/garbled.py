@@ -4,7 +4,7 @@ Every distinct value with anything but plain ASCII is repaired once: its damage
 re-encoding under candidate legacy encodings and strict decoding as the encoding meant, accepted when the garbling cost
 drops (``mojibake.repair_layers``).  Damage between two single-byte encodings leaves text that decodes either
 way; there the cost of a word is how rare it is in the corpus, from counts over all values: a word is put right if one
-of its legacy readings is ``least_ratio`` times as frequent.  Values with characters lost for good are found too, with a
+of its legacy readings is in ``least_ratio`` times as many different values, or rows where values don't tell.  Values with characters lost for good are found too, with a
 null repair.
 
 Defined results: null, blank and pure-ASCII values without lost characters are never garbled.  Repeated values are
@@ -42,10 +42,13 @@ def _readings(words: pd.Series) -> pd.Series:
 
 
 def word_counts(values: DataFrame) -> DataFrame:
-    """(word, n, sure) in lower case over all of (value, n); ``sure`` leaves out values with question marks."""
+    """(word, n, different, sure) in lower case over all of (value, n).
+
+    ``different`` counts each value once, ``sure`` leaves out values with question marks.
+    """
     sure = F.when(~F.contains("value", F.lit("?")), F.col("n")).otherwise(0).alias("sure")
-    words = values.select(F.explode(F.split(F.lower("value"), WORD_SEPARATOR)).alias("word"), "n", sure).filter("word <> ''")
-    return words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
+    words = values.select("n", sure, F.explode(F.array_distinct(F.split(F.lower("value"), WORD_SEPARATOR))).alias("word")).filter("word <> ''")
+    return words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.sum("sure").alias("sure"))
 
 
 def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int = 3) -> DataFrame:
@@ -64,8 +67,12 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     # a letter read as another letter says nothing when it stands alone
     own = own.filter(~(F.col("_word").rlike(r"^\p{L}$") & F.col("_reading").rlike(r"^\p{L}$")))
     lowered = own.select("_word", "_reading", F.lower("_word").alias("_own"), F.lower("_reading").alias("_as"))
-    looked = lowered.join(counts.select(F.col("word").alias("_as"), F.col("n").alias("_n_as")), "_as").join(counts.select(F.col("word").alias("_own"), F.col("n").alias("_n_own")), "_own", "left")
-    better = looked.filter((F.col("_n_as") >= least_count) & (F.col("_n_as") >= least_ratio * F.coalesce("_n_own", F.lit(0))))
+    as_, own_ = (counts.select(F.col("word").alias("_" + c), F.col("n").alias("_n_" + c), F.col("different").alias("_d_" + c)) for c in ("as", "own"))
+    looked = lowered.join(as_, "_as").join(own_, "_own", "left").fillna(0, ["_n_own", "_d_own"])
+    # one value in many rows vouches for nothing: rows decide only where the numbers of different values don't
+    more_values = F.col("_d_as") >= least_ratio * F.col("_d_own")
+    more_rows = (F.col("_n_as") >= least_ratio * F.col("_n_own")) & (F.col("_d_own") < least_ratio * F.col("_d_as"))
+    better = looked.filter((F.col("_n_as") >= least_count) & (more_values | more_rows))
     best = better.groupBy("_word").agg(F.max(F.struct("_n_as", "_reading")).alias("_b")).select("_word", F.col("_b._reading").alias("_right"))
     put = words.join(best, "_word").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("_word").alias("_l"), "_word", "_right")), asc=False).alias("_pairs"))
     by_words = put.select("value", F.aggregate("_pairs", F.col("value"), lambda a, p: F.replace(a, p["_word"], p["_right"])).alias("_by_words"))

@@ -65,3 +65,11 @@ def test_question_mark_at_the_end(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+def test_one_garbled_value_in_many_rows(spark):
+    """Its rows don't vouch for it, nor do they make the right words look garbled."""
+    bad = damage("Ołowska Żółta Grupa", "cp1252", "cp1250")
+    right = {f"Ołowska {x}": 2 for x in "ABCDE"} | {f"Żółta {x}": 2 for x in "ABCDE"}
+    df = spark.createDataFrame([*right.items(), (bad, 30_000)], "value string, n bigint")
+    assert {r.value: r.repaired for r in G.judge_values(df).collect()} == {bad: "Ołowska Żółta Grupa"}
