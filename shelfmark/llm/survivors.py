@@ -21,6 +21,7 @@ import json
 import re
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from shelfmark.session import cut_lineage
 
 #: Most values or profiles that one task aligns at a time; more are split into buckets, none is dropped.
 BUCKET = 64
+#: Score of a gap, and cells of the largest table that an alignment takes.
+GAP, TABLE = -0.4, 4_000_000
 METADATA = ("metadata_title", "metadata_author", "metadata_creator", "metadata_created", "metadata_modified")
 # What writing tools and typists put where they have nothing to say.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "untitled", "not set", "author", "admin", "administrator", "user", "various", "anonymous", "tbd", "?", "d:", "0000-00-00", "0000-00-00 00:00:00", "d:00000000000000", "d:00000000000000z", "d:00000000")
@@ -52,13 +55,13 @@ def digest(value: Column) -> Column:
 def _align(columns: list[dict[str, float]], total: float, other: list[dict[str, float]], other_total: float) -> list[dict[str, float]]:
     """Two profiles (token -> weight per column, '' for a gap) aligned into one; Needleman-Wunsch over columns."""
     n, m = len(columns), len(other)
-    if n * m > 4_000_000:  # very long values: no table of that size; the ends are matched, the rest set side by side
-        k = 0
-        while k < min(n, m) and columns[k].keys() & other[k].keys() - {""}:
-            k += 1
-        head = [_merged(columns[i], other[i]) for i in range(k)]
-        return head + [_merged(c, {"": other_total}) for c in columns[k:]] + [_merged({"": total}, c) for c in other[k:]]
-    gap = -0.4
+    if n * m > TABLE and n > 1:  # Hirschberg's halves: the same optimum without a table of that size
+        half = n // 2
+        ahead = _last_row(columns[:half], total, other, other_total)
+        back = _last_row(columns[half:][::-1], total, other[::-1], other_total)[::-1]
+        k = int(np.argmax(ahead + back))
+        return _align(columns[:half], total, other[:k], other_total) + _align(columns[half:], total, other[k:], other_total)
+    gap = GAP
     # tokens with their shares; a pair of columns scores twice the share they have in common, less what a match must be worth
     left = [{t: w / total for t, w in c.items() if t} for c in columns]
     right = [[(t, w / other_total) for t, w in c.items() if t] for c in other]
@@ -98,6 +101,30 @@ def _align(columns: list[dict[str, float]], total: float, other: list[dict[str,
     return out[::-1]
 
 
+def _last_row(columns: list[dict[str, float]], total: float, other: list[dict[str, float]], other_total: float) -> np.ndarray:
+    """Best scores of all columns against the first j of ``other``, for each j; a row of memory at a time."""
+    at: dict[str, tuple[list[int], list[float]]] = {}
+    for j, c in enumerate(other):
+        for t, w in c.items():
+            if t:
+                places, shares = at.setdefault(t, ([], []))
+                places.append(j)
+                shares.append(w / other_total)
+    found = {t: (np.array(p), np.array(w)) for t, (p, w) in at.items()}
+    slope = GAP * np.arange(len(other) + 1)
+    row = slope.copy()
+    for c in columns:
+        score = np.full(len(other), -0.9)
+        for t, w in c.items():
+            if t in found:
+                places, shares = found[t]
+                score[places] += 2 * np.minimum(shares, w / total)
+        new = row + GAP
+        new[1:] = np.maximum(new[1:], row[:-1] + score)
+        row = np.maximum.accumulate(new - slope) + slope
+    return row
+
+
 def _merged(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
     out = dict(a)
     for t, w in b.items():
@@ -108,32 +135,51 @@ def _merged(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
 def _lean(columns: list[dict[str, float]], total: float) -> list[dict[str, float]]:
     """Without columns that three quarters of the weight leave empty.
 
-    None of these has a token of more weight than the gap, so the consensus is the same; without them the number of columns
-    stays under four times the mean length of the values, however many different values are merged.
+    None of these has a token of more weight than the gap now, but what is merged later may bring it more: a profile that lost
+    columns before it was whole is marked, and its votes are counted once more (``recounted``).  So the number of columns stays
+    under four times the mean length of the values, however many different values are merged.
     """
     return [c for c in columns if c.get("", 0.0) <= 0.75 * total]
 
 
-def profile_of(values: Iterable[tuple[str, float]]) -> tuple[list[dict[str, float]], float]:
-    """The profile of weighted values, aligned progressively from the weightiest on."""
-    columns, total, longest = [], 0.0, 0
+def profile_of(values: Iterable[tuple[str, float]]) -> tuple[list[dict[str, float]], float, bool, bool]:
+    """The profile of weighted values, aligned progressively from the weightiest on; whether columns were dropped on the way and at the end."""
+    columns, total, longest, early = [], 0.0, 0, False
     for value, weight in sorted(values, key=lambda v: (-v[1], v[0])):
         own = [{t: weight} for t in _TOKENS.findall(value)]
         longest = max(longest, len(own))
         columns, total = (_align(columns, total, own, weight), total + weight) if total else (own, weight)
-        if len(columns) > 4 * longest:  # many unlike values: what few of the weightier ones share can't win
-            columns = _lean(columns, total)
-    return _lean(columns, total), total
+        if len(columns) > 4 * longest:  # many unlike values
+            lean = _lean(columns, total)
+            early, columns = early or len(lean) < len(columns), lean
+    lean = _lean(columns, total)
+    return lean, total, early, len(lean) < len(columns)
 
 
 def merge_profiles(profiles: Iterable[str]) -> str:
-    """Serialised profiles aligned into one."""
-    columns, total = [], 0.0
-    for text in sorted(profiles):
-        own = json.loads(text)
+    """Serialised profiles aligned into one; ``e`` and ``l`` say whether columns were dropped before it was whole and at its end."""
+    columns, total, early, late = [], 0.0, False, False
+    parts = [json.loads(text) for text in sorted(profiles)]
+    for i, own in enumerate(parts):
         columns, total = (_align(columns, total, own["c"], own["t"]), total + own["t"]) if total else (own["c"], own["t"])
-        columns = _lean(columns, total)
-    return json.dumps({"c": columns, "t": total}, sort_keys=True, ensure_ascii=False)
+        early = early or own["e"] or own["l"] and len(parts) > 1 or late
+        lean = _lean(columns, total)
+        late, columns = own["l"] if len(parts) == 1 else len(lean) < len(columns), lean
+    return json.dumps({"c": columns, "t": total, "e": early, "l": late}, sort_keys=True, ensure_ascii=False)
+
+
+def votes_for(value: str, profile: str | dict) -> list[tuple[int, int, str]]:
+    """(place, step, token): where each token of a value falls on a finished profile; step 0 is the column itself, others follow it."""
+    read = json.loads(profile) if isinstance(profile, str) else profile
+    marked = [{**c, f"\0{i}": 0.0} for i, c in enumerate(read["c"])]
+    out, place, step = [], -1, 0
+    for c in _align(marked, read["t"], [{t: 1.0, "\1" + t: 0.0} for t in _TOKENS.findall(value)], 1.0):
+        mark = next((t for t in c if t[:1] == "\0" and len(t) > 1), None)
+        token = next((t[1:] for t in c if t[:1] == "\1" and len(t) > 1), None)
+        place, step = (int(mark[1:]), 0) if mark else (place, step + 1)
+        if token is not None:
+            out.append((place, step, token))
+    return out
 
 
 def consensus_tokens(profile: str) -> list[str]:
@@ -150,8 +196,15 @@ def distance(value: str, consensus: Sequence[str]) -> float:
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     a, b = a[k:], b[k:]
-    if len(a) * len(b) > 4_000_000:
-        return float(max(len(a), len(b)))
+    if len(a) * len(b) > TABLE:
+        codes = {t: i for i, t in enumerate({*a, *b})}
+        coded, steps = np.array([codes[t] for t in b]), np.arange(len(b) + 1)
+        now = steps.copy()
+        for x in a:
+            new = now + 1
+            new[1:] = np.minimum(new[1:], now[:-1] + (coded != codes[x]))
+            now = np.minimum.accumulate(new - steps) + steps
+        return float(now[-1])
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -163,8 +216,8 @@ def distance(value: str, consensus: Sequence[str]) -> float:
 
 def _profiles(values: pd.Series) -> pd.Series:
     def one(rows):
-        columns, total = profile_of((r["value"], r["weight"]) for r in rows)
-        return json.dumps({"c": columns, "t": total}, sort_keys=True, ensure_ascii=False)
+        columns, total, early, late = profile_of((r["value"], r["weight"]) for r in rows)
+        return json.dumps({"c": columns, "t": total, "e": early, "l": late}, sort_keys=True, ensure_ascii=False)
 
     return values.map(one)
 
@@ -183,9 +236,45 @@ def _distances(values: pd.Series, profiles: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _votes(values: pd.Series, profiles: pd.Series) -> pd.Series:
+    known: dict[str, dict] = {}
+    return pd.Series([votes_for(v, known[p] if p in known else known.setdefault(p, json.loads(p))) for v, p in zip(values, profiles)])
+
+
+def _counted(totals: pd.Series, votes: pd.Series) -> pd.Series:
+    """Profiles of the (place, step, token, weight) that won their places, in order."""
+
+    def one(total, rows):
+        places: dict[tuple[int, int], dict[str, float]] = {}
+        for r in rows:
+            places.setdefault((r["place"], r["step"]), {})[r["token"]] = r["weight"]
+        columns = [c for _, c in sorted(places.items())]
+        return json.dumps({"c": columns, "t": total, "e": False, "l": False}, sort_keys=True, ensure_ascii=False)
+
+    return pd.Series([one(t, rows) for t, rows in zip(totals, votes)])
+
+
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
+def recounted(profiles: DataFrame, votes: DataFrame) -> DataFrame:
+    """(key, field, profile): profiles that lost votes on the way, with all values' tokens counted once more against them.
+
+    ``votes``: (key, field, value, weight).  What most of the weight has between two columns becomes a column again; places
+    where the gap outweighs every token are left out, now that nothing more is merged.
+    """
+    lost = profiles.filter(F.get_json_object("profile", "$.e") == "true").select("key", "field", "profile")
+    cast = votes.join(lost, ["key", "field"]).select("key", "field", "weight", F.explode(F.pandas_udf(_votes, "array<struct<place int, step int, token string>>")("value", "profile")).alias("_v"))
+    counted = cast.groupBy("key", "field", "_v.place", "_v.step", "_v.token").agg(F.sum("weight").alias("weight"))
+    totals = votes.join(lost.select("key", "field"), ["key", "field"]).groupBy("key", "field").agg(F.sum("weight").alias("_t"))
+    # a place's token wins only with more weight than each other and the gap; most votes are for the best of their place
+    best = counted.groupBy("key", "field", "place", "step").agg(F.min_by(F.struct("token", "weight"), F.struct(-F.col("weight"), "token")).alias("_b"), F.sum("weight").alias("_all"))
+    kept = best.join(totals, ["key", "field"]).filter(F.col("_b.weight") > F.col("_t") - F.col("_all"))
+    rows = kept.groupBy("key", "field").agg(F.first("_t").alias("_t"), F.collect_list(F.struct("place", "step", F.col("_b.token").alias("token"), F.col("_b.weight").alias("weight"))).alias("_r"))
+    again = rows.select("key", "field", F.pandas_udf(_counted, "string")("_t", "_r").alias("_again"))
+    return profiles.select("key", "field", "profile").join(again, ["key", "field"], "left").select("key", "field", F.coalesce("_again", "profile").alias("profile"))
+
+
 def consensus_values(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(key, field, value, off): the surviving value of each (key, field) and its distance from the consensus.
 
@@ -207,6 +296,7 @@ def consensus_values(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
         salt = F.pmod(F.xxhash64("profile"), F.lit(width))
         profiles = profiles.withColumn("_b", salt).groupBy("key", "field", "_b").agg(F.collect_list("profile").alias("_p"), F.first("n").alias("n"))
         profiles = cut_lineage(profiles.select("key", "field", "n", F.pandas_udf(_merge, "string")("_p").alias("profile")))
+    profiles = recounted(cut_lineage(profiles.select("key", "field", "profile")), several.select("key", "field", "value", "weight"))
     near = several.select("key", "field", "value").join(profiles.select("key", "field", "profile"), ["key", "field"])
     near = near.withColumn("off", F.pandas_udf(_distances, "double")("value", "profile"))
     best = near.groupBy("key", "field").agg(F.min(F.struct("off", "value")).alias("_m")).select("key", "field", "_m.value", "_m.off")

@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from shelfmark.llm import survivors as V
 
 DOC = "doc_id bigint, sha256 string, file_name string, source string, last_seen_job string, metadata_title string, metadata_author string, metadata_creator string, metadata_created string, metadata_modified string, filled int, weight string"
@@ -59,6 +61,31 @@ def test_buckets_give_the_same_record(spark):
     assert V.consensus_values(votes, 8).first().value == V.consensus_values(votes, 1000).first().value == "Handbook of Rivers"
 
 
+def test_votes_dropped_in_a_bucket_count(spark):
+    """A token outvoted in one bucket by one heavy value, with most of the weight over all."""
+    heavy, light = [("Rivers Guide", 1000.0)], [(f"Rivers X Guide {i}", 100.0) for i in range(3)]
+    other = [("Rivers X Guide", 801.0)]
+    parts = V._profiles(pd.Series([[{"value": v, "weight": w} for v, w in b] for b in (heavy + light, other)]))
+    merged = V.merge_profiles(parts)
+    rows = [("k", "f", v, w) for v, w in heavy + light + other]
+    votes = spark.createDataFrame(rows, "key string, field string, value string, weight double")
+    profiles = spark.createDataFrame([("k", "f", merged)], "key string, field string, profile string")
+    assert "".join(V.consensus_tokens(merged)) == "Rivers Guide"
+    assert "".join(V.consensus_tokens(V.recounted(profiles, votes).first().profile)) == "Rivers X Guide"
+
+
+def test_long_values_are_aligned(monkeypatch):
+    r = random.Random(1)
+    a = [r.choice("abcdefgh") for _ in range(120)]
+    b = [x for x in a if r.random() > 0.2]
+    one = lambda v: [{t: 1.0} for t in v]
+    score = lambda p: sum(1.1 if len(c) == 1 and "" not in c else V.GAP if "" in c else -0.9 for c in p)
+    want, far = score(V._align(one(a), 1.0, one(b), 1.0)), V.distance("".join(f"{x} " for x in a), [t for x in b for t in (x, " ")])
+    monkeypatch.setattr(V, "TABLE", 50)
+    assert abs(score(V._align(one(a), 1.0, one(b), 1.0)) - want) < 1e-9
+    assert V.distance("".join(f"{x} " for x in a), [t for x in b for t in (x, " ")]) == far
+
+
 def test_edges(spark):
     assert V.surviving_records(*tables(spark, [])).count() == 0
     twins = [doc(1, "s", "n.pdf"), doc(2, "s", "n.pdf"), doc(2, "s", "n.pdf")]
