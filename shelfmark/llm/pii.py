@@ -2,7 +2,8 @@
 
 Texts are independent, so this is one pass without a shuffle: candidate segments are made for each whole text, scored by
 the features of the span and its surroundings, and the best labelling is decoded.  The weights are fitted on the driver
-(``pii_model``) and shipped to the workers; they are a few hundred numbers whatever the data.
+(``pii_model``) and shipped to the workers; they are some two thousand numbers whatever the data.  Every worker reads the list of
+common words (``lexicon``) from vocabulary files of public tokenizers.
 
 Defined results: null and empty texts have no segments and are returned as they are; very long texts are processed whole;
 repeated rows give repeated results; other columns are ignored.

@@ -1,28 +1,30 @@
 """Candidate segments of personal information in a text and the features that score them as wholes.
 
-Candidates are found from cheap anchors (an at sign, a run of digits, a capitalised word that is a given name, a title or an
-initial, a street word), so that the cost follows what there is to judge and not the number of patterns.  Every
-candidate carries its kind and the features of the whole span and its surroundings; several candidates may overlap, with
-other bounds or other kinds, and the model decides between them.
+Candidates are found from cheap anchors: an at sign, a run of digits, a capitalised word or Han surname, a street word.  From an
+anchor the whole item is read, however long it is.  Every run of capitalised words gives candidates for names, and every
+long run of digits candidates for numbers; several candidates may overlap, with other bounds or kinds, and the model
+decides between them.  What stands around a span is told by the three words before it and the one behind it.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+from shelfmark.llm import pii_words as W
+from shelfmark.llm.lexicon import word_class
 from shelfmark.llm.names import GIVEN, fold
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 Segment = tuple[int, int, str, tuple[str, ...]]
 
+_WORDS = re.compile(r"[^\W\d_]+")
 _S = r"[ \t\xa0]?\n?[ \t\xa0]?"
 _SP = r"(?:[ \t\xa0]+\n?[ \t\xa0]*|\n[ \t\xa0]*)"
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚŁŃŇŐŘŚŠŤŮŰŹŻŽА-ЯЁ"
 _LOW = "a-zß-öø-ÿāăąćčďđęěłńňőřśšťůűźżžа-яё"
 _WORD = f"[{_UP}][{_LOW}{_UP}'’]+(?:-[{_UP}][{_LOW}{_UP}]+)?"
 
-_EMAIL = re.compile(rf"[\w.+\-]+{_SP}?(?:@|[(\[]at[)\]])(?:{_SP})?[\w\-]+(?:(?:\.|{_SP}dot{_SP}|{_SP}?[(\[]dot[)\]]{_SP}?)[\w\-]+)+", re.IGNORECASE)
-_DIGITS = re.compile(r"[+(]?\d[\d \t\xa0\n().\-–/№]{4,}[\dA-Z]")
 # How telephone numbers are written.
 PHONES = tuple((name, re.compile(p)) for name, p in (
     ("plus", rf"\+\d{{1,3}}(?:[ \xa0.\-/]?\n?\(?\d{{1,4}}\)?){{2,6}}"),
@@ -34,11 +36,14 @@ PHONES = tuple((name, re.compile(p)) for name, p in (
     ("us_int", r"00\d?-\d{3}-\d{3}-\d{4}"),
     ("local_7", r"\d{3}-\d{4}"),
     ("zero_3", rf"0\d{{1,4}}{_SP}\d{{3,5}}(?:{_SP}|-)\d{{3,4}}"),
+    ("zero_2", rf"0\d{{2,4}}{_SP}\d{{5,7}}"),
+    ("slash", rf"0\d{{1,4}}[ ]?/[ ]?\d{{4,8}}"),
+    ("eight", rf"8[ \-]\(?\d{{3}}\)?[ \-]\d{{3}}[ \-]\d{{2}}[ \-]\d{{2}}"),
     ("pairs", rf"0\d(?:{_SP}\d{{2}}){{4}}|0\d(?:\.\d{{2}}){{4}}"),
     ("threes", r"\d{3}-\d{3}-\d{3}"),
     ("threes_space", rf"\d{{3}}{_SP}\d{{3}}{_SP}\d{{3}}"),
     ("three_twos", rf"\d{{3}}(?:{_SP}\d{{2}}){{3}}"),
-    ("dashes", r"0\d{1,3}-\d{2,4}-\d{4}|1\d{2}-\d{4}-\d{4}"),
+    ("dashes", r"0\d{1,3}-\d{2,4}-\d{4}|1\d{2}-\d{4}-\d{4}|0\d{2,3}-\d{7,8}"),
     ("solid", r"0\d{9,10}|1\d{10}"),
 ))
 # How identity numbers are written.
@@ -53,66 +58,140 @@ IDS = tuple((name, re.compile(p)) for name, p in (
     ("long_groups", rf"[1-478]{_SP}\d{{2}}{_SP}\d{{2}}{_SP}\d{{2,3}}{_SP}\d{{3}}{_SP}\d{{3}}(?:{_SP}\d{{2}})?|[1-478]\d{{12}}(?:{_SP}?\d{{2}})?"),
     ("2_3_3_3", rf"\d{{2}}{_SP}\d{{3}}{_SP}\d{{3}}{_SP}\d{{3}}"),
     ("2_2_6", rf"\d{{2}}{_SP}?\d{{2}}{_SP}(?:№{_SP}?)?\d{{6}}"),
+    ("snils", r"\d{3}-\d{3}-\d{3}[ \-]\d{2}"),
 ))
-_ID_LETTERS = re.compile(rf"(?<!\w)(?:[A-Z]{{1,3}}{_SP}?\d{{6,8}}|[XYZ]-?\d{{7}}-?[A-Z]|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{{8}})(?!\w)")
-
-TITLES = frozenset("mr mrs ms miss dr prof professor sir herr frau sr sra srta don doña dom dona m mme mlle monsieur madame pan pani г-н г-жа д-р проф dr. prof.".split())
-# Common Russian given names, besides the Latin ones known.
-CYRILLIC_GIVEN = frozenset("александр алексей анна андрей антон борис вадим валентин валерий василий вера виктор виталий влада владимир галина глеб григорий дарья демьян денис дмитрий евгений екатерина елена злата иван игорь ирина кирилл константин лариса леонид людмила максим мария михаил надежда наталья николай оксана олег ольга павел пётр роман светлана сергей софия степан татьяна тимур фёдор юлия юрий яна".split())
-STREETS = frozenset("street st road rd lane ln ave avenue row court ct drive dr way close place terrace square boulevard blvd".split())
-STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer")
-STREET_FIRST = ("rue", "avenue", "boulevard", "bd", "place", "impasse", "chemin", "quai", "allée", "calle", "avda", "avenida", "paseo", "plaza", "av", "rua", "travessa", "largo", "praça", "ul", "al", "pl", "os", "aleja", "ulica", "via", "ул", "улица", "пр", "проспект", "пер", "переулок")
-_FIRST = re.compile(rf"(?<!\w)(?:{'|'.join(STREET_FIRST)})(?!\w)\.?", re.IGNORECASE)
+_DIGITS = re.compile(r"[+(]?\d[\d \t\xa0\n().\-–/№]{4,}[\dA-Z]")
+_EXTENSION = re.compile(rf"{_SP}(?:ext\.?|x){_S}\d{{1,5}}")
+# one to three letters and digits; letter, digits, letter; two letters, three pairs of digits and a letter; nine letters and digits (patterns
+# begin with a class of characters, which is what the engine looks for fastest)
+_ID_LETTERS = re.compile(rf"[A-Z](?<!\w[A-Z])(?:[A-Z]{{0,2}}{_SP}?\d{{6,8}}|(?<=[XYZ])-?\d{{7}}-?[A-Z]|[A-Z]{_S}\d{{2}}{_S}\d{{2}}{_S}\d{{2}}{_S}[A-D]|(?<=[CFGHJKLMNPRTVWXYZ])[0-9CFGHJKLMNPRTVWXYZ]{{8}})(?!\w)")
+
+_SIGN = re.compile(r"@|[(\[]at[)\]]|(?<=\w) at (?=[\w\-]+ dot )", re.IGNORECASE)
+_HOST = re.compile(rf"{_SP}?[\w\-]+(?:(?:\.|{_SP}dot{_SP}|{_SP}?[(\[]dot[)\]]{_SP}?)[\w\-]+)+", re.IGNORECASE)
+
 _PLACE = rf"(?:,?{_SP}\d{{4,5}}(?:-\d{{3}})?{_SP}{_WORD}(?:{_SP}{_WORD})?|,{_SP}{_WORD}(?:{_SP}\d{{5}}(?!\d))?|,?{_SP}\d{{5}}(?!\d))?"
-_AFTER_FIRST = re.compile(rf"{_SP}?(?:(?:de|del|da|do|des|du|la){_SP})?{_WORD}(?:,{_SP}(?:n[º°.]?{_SP}?|д\.{_SP}?|дом{_SP})?\d{{1,4}}[a-zA-Z]?(?!\w)|{_SP}(?:n[º°.]?{_SP}?)?\d{{1,4}}[a-zA-Z]?(?!\w))(?:,{_SP}(?:кв|m|apt|lok)\.?{_SP}?\d+)?{_PLACE}")
-_AFTER_FRENCH = re.compile(rf"{_SP}(?:(?:de|des|du|la|de la){_SP})?{_WORD}{_PLACE}")
-_BEFORE_FRENCH = re.compile(rf"(?<![\w\d])\d{{1,4}}(?:{_SP}(?:bis|ter|quater))?,?{_SP}$")
-_BEFORE_ENGLISH = re.compile(rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_SP}\d+[A-Za-z]?,?{_SP})?(?<![\w.,:/\-])\d{{1,5}}[A-Za-z]?{_SP}(?:{_WORD}{_SP}){{1,3}}$")
+_AFTER_FIRST = re.compile(rf"{_SP}?(?:(?:de|del|da|do|dos|das|des|du|la){_SP}){{0,2}}{_WORD}(?:{_SP}(?:(?:de|del|da|do|dos|das|des|du){_SP})?{_WORD})?(?:,{_SP}(?:n[º°.]?{_SP}?|д\.{_SP}?|дом{_SP})?\d{{1,4}}[a-zA-Z]?(?!\w)|{_SP}(?:n[º°.]?{_SP}?)?\d{{1,4}}[a-zA-Z]?(?!\w))(?:,{_SP}(?:кв|m|apt|lok)\.?{_SP}?\d+)?{_PLACE}")
+_FRENCH = re.compile(rf"(?<![\w.,:/\-])\d{{1,4}}(?:{_SP}(?:bis|ter|quater))?,?{_SP}(?:{'|'.join(w for w in W.STREET_FIRST if w.isalpha() and w.isascii() or w == 'allée')}){_SP}(?:(?:des|du|de{_SP}la|de|la){_SP}|l['’]|d['’])?{_WORD}(?:{_SP}{_WORD})?{_PLACE}")
+_ENGLISH = re.compile(rf"\d(?<![\w.,:/\-]\d)\d{{0,4}}[A-Za-z]?{_SP}(?=[{_UP}])")
+_FLAT = re.compile(rf"(?:Flat|Apt\.?|Apartment|Unit|Suite){_SP}\d+[A-Za-z]?,?{_SP}")
+_NEXT_WORD = re.compile(rf"({_WORD}){_SP}")
+_LAST_WORD = re.compile(rf"({_WORD})(?![\w'’])")
 _AFTER_ENGLISH = re.compile(rf"\.?(?:,{_SP}(?:Flat|Apt\.?|Unit|Suite){_SP}\d+[A-Za-z]?)?(?:,{_SP}{_WORD}(?:{_SP}{_WORD})?)?(?:,?{_SP}\d{{5}}(?!\d))?")
 _AFTER_GERMAN = re.compile(rf"\.?{_SP}\d{{1,4}}{_S}[a-z]?(?!\w){_PLACE}")
 _CJK_ADDRESS = re.compile(r"[一-鿿]{2,14}(?:路|街|大道|巷|胡同)\d{1,5}号(?:[一-鿿\d]{1,8}(?:室|楼|单元))?|(?:東京都|北海道|(?:京都|大阪)府|[一-鿿]{2,3}県)[一-鿿ぁ-んァ-ン]{1,12}\d{1,3}(?:丁目|[-－]\d{1,3}){1,3}")
+_STREET_FIRST = frozenset(w.rstrip("/") for w in W.STREET_FIRST)
+_FLATS = frozenset(("Flat", "Apt", "Apartment", "Unit", "Suite"))
 #: Every match of the pattern holds one of these.
 _CJK_SIGNS = ("号", "県", "東京都", "北海道", "京都府", "大阪府")
 
-# Words that say what stands beside them.
-CUES = {
-    "id": r"ssn|social security(?: no\.?| number)?|passport(?: no\.?| number)?|tax(?:payer)? (?:id|no|number)|national (?:id|identity)(?: no\.?| number| card)?|id(?: card)?(?: no\.?| number)|nino|national insurance(?: no\.?| number)?|tin|steuer-?id(?:entifikationsnummer)?|steuernummer|personalausweis(?:nummer)?|reisepass(?:nummer)?|sozialversicherungsnummer|numéro de sécurité sociale|sécurité sociale|passeport|carte d.identité|dni|nif|nie|pasaporte|cpf|rg|cc|nif|passaporte|bilhete de identidade|pesel|nip|dowód(?: osobisty)?|paszport|паспорт(?: серия)?|снилс|инн|身份证号码?|护照号?码?|社会保障号|マイナンバー|個人番号|旅券番号|パスポート番号",
-    "phone": r"tel|telephone|phone|mobile|cell|fax|call|ring|dial|telefon|telefonnummer|handy|rufen|erreichbar unter|téléphone|tél|portable|appeler|teléfono|móvil|llame al|telefone|telemóvel|ligar para|celular|telefonu|dzwonić|kom|тел|телефон|звоните|звонить|电话|手机|電話|電話番号|携帯|left",
-    "email": r"e-?mail|mail|write to|contact|contacto|contato|kontakt|контакт|courriel|correo|邮件至|邮箱|メール|連絡先は|corrections|in the margin|rückfragen an|kierować na|until|at|почта",
-    "address": r"write to|returned to|questions go to|deliver(?:y|ies)(?: to)?|send to|live[sd]? (?:at|in)|address|resid(?:es|ing) at|wohnt in|wohnhaft in|anschrift|adresse|oder|écrire à|habite(?: au)?|domicilié au|escriba a|vive en|domicilio|dirección|enviar para|mora n[ao]|reside na|endereço|morada|mieszka przy|zamieszkał[ya]? przy|adres|по адресу|адрес|проживает|住址|地址|住所",
-    "name": r"contact|borrower|reader|reviewer|signed|thank|read by|belongs to|questions go to|shelved for|by|ansprechpartner(?:in)? ist|von|leser(?:in)?|remercions|écrire à|lecteur|lectrice|prestatario|escriba a|leitora?|contato|contacto|czytelni(?:k|czka)|читатель|联系人|读者|担当者|利用者|dear|name|and|for|from|to",
-    "count": r"sheet|ticket|grant|reading|order|isbn|issn|accession|shelf mark|build|version|coordinates|catalogue no|catalog no|doi|node|pages?|pp|p|fig(?:ure)?|chapter|table|section|serial(?: no)?|part(?: no)?|invoice|no|nr|model|mark|scale|vol(?:ume)?|covered|replaced|bestellung|auftrag|commande|pedido|zamówienie|заказ|订单|注文",
-}
-_LEFT = {k: re.compile(rf"(?:(?<=[^\w])|^)(?:{p})[\s:.,;=#№|<(\"'„«]*$", re.IGNORECASE) for k, p in CUES.items()}
-_RIGHT_WORDS = {
-    "thing": re.compile(r"^[\s]*(?:press|institute|university|verlag|gmbh|ltd|method|number|theorem|survey|effect|law|test|street|lake|bay|river|museum|library)\b", re.IGNORECASE),
-    "count": re.compile(r"^[\s]*(?:at \d|readings|shows|replaced|covered|mark the|was tagged|: reset|in 1|in 2|kg|mm|m³|%)", re.IGNORECASE),
-    "pipe": re.compile(r"^\s*\|"),
-    "end": re.compile(r"^\s*(?:$|\n|[.;。；](?:\s|$))"),
-    "comma": re.compile(r"^\s*[,、，)>]"),
-}
-
-
-def _around(text: str, start: int, end: int) -> list[str]:
-    """Classes of what stands to the left and right of a span."""
-    left = text[max(0, start - 40) : start].replace("\n", " ")
-    out = ["L:" + k for k, p in _LEFT.items() if p.search(left)]
-    bare = left.rstrip()
-    if not out:
-        out.append("L:pipe" if bare.endswith("|") else "L:start" if not bare or text[start - 1] == "\n" or bare[-1] in ".!?。:：" else "L:comma" if bare[-1] in ",;(<、，" else "L:other")
-    elif bare.endswith("|"):
+# -- surroundings ----------------------------------------------------------------------------------------------------
+
+#: label -> classes of what stands behind it
+_LABELS: dict[str, tuple[str, ...]] = {}
+for _name, _words in (("id", W.ID_LABELS), ("phone", W.PHONE_LABELS), ("email", W.EMAIL_LABELS), ("address", W.ADDRESS_LABELS), ("person", W.PERSON_LABELS), ("hint", W.PERSON_HINTS), ("thing", W.THING_LABELS), ("place", W.PLACE_LEFT), ("article", W.ARTICLES), ("and", W.AND), ("title", W.TITLES)):
+    for _w in _words:
+        _LABELS[_w] = (*_LABELS.get(_w, ()), "L:" + _name)
+_CJK = tuple((w, "L:" + k) for k, ws in W.CJK_LABELS.items() for w in ws)
+_LINKING = frozenset(("no", "nr", "n°", "nº", "number", "№", "numer", "número", "numéro", "is", "was", "are", "ist", "war", "est", "es", "é", "jest", "to"))
+_PARTS = re.compile(r"[\s。、，！？：；⺀-鿿ぁ-ヿ]+")
+_BETWEEN = " \t\n\xa0:.,;=#№|<(\"'„«“‘–—、，：（"
+_STOPS = frozenset(".!?。！？")
+#: Characters of a text before and after a span among which the words beside it are looked for.
+BEFORE, AFTER = 48, 24
+
+
+def _left(text: str, start: int) -> list[str]:
+    """Classes of what stands before a span."""
+    before = text[max(0, start - BEFORE) : start]
+    word = before.rstrip(_BETWEEN)
+    gap = before[len(word) :]
+    out: list[str] = []
+    tail = word.lower()
+    if tail and tail[-1] > "⺀":
+        bare = tail.rstrip("はのがを是为為")
+        for w, k in _CJK:
+            if (tail.endswith(w) or bare.endswith(w)) and k not in out:
+                out.append(k)
+        if "。" in gap:
+            out = []
+    elif tail:
+        words = [w for w in _PARTS.split(tail)[-3:] if w]
+        last = words[-1].lstrip("(\"'„«“‘<|")
+        if last in _LINKING and len(words) > 1 and (before_no := words[-2].strip(",(.:")) in _LABELS:
+            words, last = words[:-1], before_no
+        for n in range(len(words)):
+            key = " ".join([*words[n:-1], last])
+            if got := _LABELS.get(key):
+                for k in got:
+                    if k not in out:
+                        out.append(k)
+                break
+        # the end of a sentence parts, the dot of an abbreviation doesn't
+        if not out:
+            out = ["L:lower" if last[:1].islower() and word[-1:].islower() and word[len(word) - len(last) :][:1].islower() else "L:upper"]
+        if not _STOPS.isdisjoint(gap) and (len(last) > 4 or "L:thing" not in out and "L:phone" not in out and "L:title" not in out and "L:id" not in out):
+            out = ["L:start"]
+    bare = gap.replace(" ", "").replace("\xa0", "")
+    if not tail:
+        out.append("L:start")
+    if not tail or bare.endswith("\n"):
+        out.append("L:line")
+    elif "|" in bare:
         out.append("L:pipe")
-    right = text[end : end + 24]
-    hit = next((k for k, p in _RIGHT_WORDS.items() if p.search(right)), "other")
-    out.append("R:" + hit)
-    return out
-
-
-def _features(kind: str, shape: str, around: list[str], *more: str) -> tuple[str, ...]:
-    f = [f"{kind}", f"{kind}|{shape}"]
-    f += [f"{kind}|{a}" for a in around] + [f"{kind}|{m}" for m in more]
-    if kind in ("phone", "id_number"):
-        f += [f"{kind}|{shape}|{a}" for a in around if a in ("L:id", "L:phone", "L:count", "L:pipe")]
+    elif ":" in bare or "：" in bare or "=" in bare:
+        out.append("L:colon")
+    elif "," in bare or "、" in bare or "，" in bare or ";" in bare:
+        out.append("L:comma")
+    elif bare and bare[-1] in "(<\"'„«“‘（":
+        out.append("L:open")
+    return out or ["L:other"]
+
+
+_AFTER_WORD = re.compile(r"[^\W\d_][\w'’°³²]*|%|°C|m³|m²")
+
+
+def _right(text: str, end: int) -> list[str]:
+    """Classes of what stands behind a span."""
+    after = text[end : end + AFTER]
+    bare = after.lstrip(" \t\xa0")
+    if not bare or bare[0] == "\n":
+        out = ["R:end"]
+    elif bare[0] == "|":
+        return ["R:pipe"]
+    elif bare[0] in ".;。；!?！？":
+        return ["R:stop"]
+    elif bare[0] in ",、，)>）:：":
+        return ["R:comma"]
+    elif bare[0] in "([（<":
+        return ["R:open"]
+    else:
+        out = []
+    if (first := bare[:1]) and first > "⺀":
+        return ["R:honorific"] if bare.startswith(W.CJK_HONORIFICS) else [*out, "R:cjk"]
+    m = _AFTER_WORD.match(bare.lstrip("\n \t"))
+    if not m:
+        return out or ["R:other"]
+    low = m[0].lower()
+    if low in W.VERBS:
+        out.append("R:verb")
+    if low in W.AND:
+        out.append("R:and")
+    if low in W.THINGS:
+        out.append("R:thing")
+    if low in W.UNITS:
+        out.append("R:unit")
+    if low == "at" or low == "shows" or low == "to":
+        out.append("R:to")
+    if m[0][0].isupper() and "R:end" not in out:
+        out.append("R:capital")
+    return out or ["R:word"]
+
+
+def _features(kind: str, shape: str, left: list[str], right: list[str], *more: str) -> tuple[str, ...]:
+    f = [kind, f"{kind}|{shape}"]
+    f += [f"{kind}|{a}" for a in left] + [f"{kind}|{a}" for a in right] + [f"{kind}|{m}" for m in more]
+    if kind != "email":
+        f += [f"{kind}|{shape}|{a}" for a in left] + [f"{kind}|{shape}|{a}" for a in right]
     return tuple(f)
 
 
@@ -125,10 +204,12 @@ def _trim(text: str, start: int, end: int) -> int:
 def candidates(text: str) -> list[Segment]:
     """All candidate segments (start, end, kind, features) of a text, in no order; ends exclusive."""
     out: list[Segment] = []
-    _emails(text, out)
+    words = set(_WORDS.findall(text))
+    _emails(text, words, out)
     _numbers(text, out)
-    _streets(text, out)
-    _names(text, out)
+    _streets(text, words, out)
+    _names(text, words, out)
+    _han_names(text, out)
     merged: dict[tuple[int, int, str], tuple[str, ...]] = {}
     for start, end, kind, features in out:
         key = (start, end, kind)
@@ -136,23 +217,31 @@ def candidates(text: str) -> list[Segment]:
     return [(*key, features) for key, features in merged.items()]
 
 
-def _emails(text: str, out: list[Segment]) -> None:
-    for sign in ("@", "(at)", "[at]", "(AT)", "[AT]"):
-        at = text.find(sign)
-        while at >= 0:
-            lo = max(0, at - 80)
-            m = None
-            for m in _EMAIL.finditer(text, lo, min(len(text), at + 160)):
-                if m.start() < at < m.end():
-                    break
-            else:
-                m = None
-            if m:
-                start = m.start()
-                end = _trim(text, start, m.end())
-                if "." in text[at:end] or "dot" in text[at:end].lower():
-                    out.append((start, end, "email", _features("email", sign.lower(), _around(text, start, end))))
-            at = text.find(sign, at + len(sign))
+# -- e-mail ----------------------------------------------------------------------------------------------------------
+
+
+def _emails(text: str, words: set[str], out: list[Segment]) -> None:
+    if "@" not in text and not ("dot" in words or "(" in text or "[" in text):
+        return
+    for sign in _SIGN.finditer(text):
+        start = at = sign.start()
+        worded = sign[0] != "@"
+        while worded and start and text[start - 1] in " \t\xa0\n":
+            start -= 1
+        user = start
+        while start and (text[start - 1].isalnum() and ord(text[start - 1]) < 0x2E80 or text[start - 1] in "._+-"):
+            start -= 1
+        host = _HOST.match(text, sign.end())
+        if start == user or not host:
+            continue
+        while start < user and text[start] in ".-":
+            start += 1
+        end = _trim(text, start, host.end())
+        if "." in text[at:end] or "dot" in text[at:end].lower():
+            out.append((start, end, "email", _features("email", sign[0].lower().strip(), _left(text, start), _right(text, end))))
+
+
+# -- numbers ---------------------------------------------------------------------------------------------------------
 
 
 def _numbers(text: str, out: list[Segment]) -> None:
@@ -160,126 +249,231 @@ def _numbers(text: str, out: list[Segment]) -> None:
         lo, hi = run.start(), run.end()
         if sum(map(str.isdigit, run[0])) < 7:
             continue
-        hi = min(len(text), hi + 12)
+        hi = m.end() if (m := _EXTENSION.match(text, hi)) else min(len(text), hi + 1)
+        beside: dict[int, list[str]] = {}
+        behind: dict[int, list[str]] = {}
         for kind, shapes in (("phone", PHONES), ("id_number", IDS)):
             for shape, pattern in shapes:
                 for m in pattern.finditer(text, lo, hi):
-                    start, end = m.start(), _trim(text, m.start(), m.end())
-                    before, after = text[start - 1 : start], text[end : end + 1]
-                    if before and (before.isalnum() and ord(before) < 0x2E80 or before in "+.-–/") or after.isalnum() and ord(after) < 0x2E80 or after in "-–/" and text[end + 1 : end + 2].isdigit() or after == "." and text[end + 1 : end + 2].isdigit():
-                        continue
-                    around = _around(text, start, end)
-                    digits = re.sub(r"\D", "", text[start:end])
-                    more = ["555"] if "555" in digits and kind == "phone" else []
-                    if before == "(" or before == " " and text[start - 2 : start - 1] == ")" or before == ")":
-                        more.append("after_paren")
-                    out.append((start, end, kind, _features(kind, shape, around, *more)))
+                    _number(text, m.start(), m.end(), kind, shape, beside, behind, out)
+        # a number of no known shape counts where it is labelled
+        start, end = lo, _trim(text, lo, run.end())
+        if 7 <= sum(map(str.isdigit, text[start:end])) <= 15 and end - start <= 24:
+            left = beside.get(start) or beside.setdefault(start, _left(text, start))
+            for kind, label in (("phone", "L:phone"), ("id_number", "L:id")):
+                if label in left:
+                    _number(text, start, end, kind, "labelled", beside, behind, out)
     for m in _ID_LETTERS.finditer(text):
-        around = _around(text, m.start(), m.end())
-        if "L:id" in around or "L:count" not in around:
-            out.append((m.start(), m.end(), "id_number", _features("id_number", "letters", around)))
+        left = _left(text, m.start())
+        if any(map(str.isdigit, m[0])):
+            letters = sum(map(str.isalpha, m[0]))
+            shape = "nino" if m[0][-1].isalpha() and m[0][:2].isalpha() else "letters" if letters <= 3 else "code"
+            out.append((m.start(), m.end(), "id_number", _features("id_number", shape, left, _right(text, m.end()))))
 
 
-def _address(text: str, start: int, end: int, shape: str, out: list[Segment]) -> None:
+def _number(text: str, start: int, end: int, kind: str, shape: str, beside: dict, behind: dict, out: list[Segment]) -> None:
     end = _trim(text, start, end)
-    zipped = "zip" if re.search(r"\d{5}", text[start:end]) else "nozip"
-    placed = "placed" if "," in text[start:end] else "bare"
-    out.append((start, end, "address", _features("address", shape, _around(text, start, end), zipped, placed)))
+    before, after = text[start - 1 : start], text[end : end + 1]
+    if before and (before.isalnum() and ord(before) < 0x2E80 or before in "+.-–/") or after.isalnum() and ord(after) < 0x2E80 or after in ("-", "–", "/", ".") and text[end + 1 : end + 2].isdigit():
+        return
+    left = beside.get(start) or beside.setdefault(start, _left(text, start))
+    right = behind.get(end) or behind.setdefault(end, _right(text, end))
+    more = ["555"] if kind == "phone" and "555" in text[start:end] else []
+    if before == "(" or before == ")" or before == " " and text[start - 2 : start - 1] == ")":
+        more.append("after_paren")
+    if before and before.isspace() and text[start - 2 : start - 1].isdigit() or after and after.isspace() and text[end + 1 : end + 2].isdigit():
+        more.append("beside_digits")
+    out.append((start, end, kind, _features(kind, shape, left, right, *more)))
+
+
+# -- addresses -------------------------------------------------------------------------------------------------------
 
 
-def _streets(text: str, out: list[Segment]) -> None:
-    for m in _FIRST.finditer(text):
-        if n := _AFTER_FIRST.match(text, m.end()):
-            _address(text, m.start(), n.end(), "street_first", out)
-        if m[0][0].islower() and (n := _AFTER_FRENCH.match(text, m.end())) and (b := _BEFORE_FRENCH.search(text, max(0, m.start() - 16), m.start())):
-            _address(text, b.start(), n.end(), "number_street", out)
+def _address(text: str, start: int, end: int, shape: str, out: list[Segment]) -> None:
+    end = _trim(text, start, end)
+    span = text[start:end]
+    zipped = "zip" if re.search(r"\d{5}", span) else "nozip"
+    placed = "placed" if "," in span else "bare"
+    out.append((start, end, "address", _features("address", shape, _left(text, start), _right(text, end), zipped, placed, f"{shape}_{placed}")))
+
+
+@lru_cache(maxsize=1000)
+def _first_words(present: frozenset[str]) -> re.Pattern:
+    return re.compile(rf"(?:{'|'.join(sorted(map(re.escape, present), key=lambda w: (-len(w), w)))})(?!\w)\.?")
+
+
+def _streets(text: str, words: set[str], out: list[Segment]) -> None:
+    """Streets told by their first word, by a number before them or by Chinese and Japanese signs; ``words``: those of the text."""
+    present = frozenset(w for w in words if w.lower() in _STREET_FIRST)
+    if present:
+        for m in _first_words(present).finditer(text):
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+                continue
+            if n := _AFTER_FIRST.match(text, m.end()):
+                _address(text, m.start(), n.end(), "street_first", out)
+        for m in _FRENCH.finditer(text):
+            _address(text, m.start(), m.end(), "number_street", out)
+    if any(w.lower() in W.STREETS for w in words if w[0].isupper()):
+        flats = {m.end(): m.start() for m in _FLAT.finditer(text)} if not _FLATS.isdisjoint(words) else {}
+        for m in _ENGLISH.finditer(text):
+            at = m.end()
+            for k in range(5):
+                if k and (last := _LAST_WORD.match(text, at)) and last[1].lower() in W.STREETS:
+                    if n := _AFTER_ENGLISH.match(text, last.end()):
+                        _address(text, flats.get(m.start(), m.start()), n.end(), "number_street", out)
+                if not (step := _NEXT_WORD.match(text, at)):
+                    break
+                at = step.end()
     if any(sign in text for sign in _CJK_SIGNS):
         for m in _CJK_ADDRESS.finditer(text):
-            _address(text, m.start(), m.end(), "cjk", out)
+            # a Chinese address is written right behind its label
+            after = max((m[0].rfind(w) + len(w) for w in W.CJK_LABELS["address"] if w in m[0]), default=0)
+            _address(text, m.start() + after, m.end(), "cjk", out)
 
 
-_LETTER = r"A-Za-z0-9_À-ɏЀ-ӿ"
-_CAPITAL = re.compile(rf"(?<![{_LETTER}])[{_UP}][{_LETTER}'’]*(?:-[{_UP}][{_LETTER}]+)?\.?")
-_GAP = re.compile(rf"{_SP}")
+# -- names -----------------------------------------------------------------------------------------------------------
 
-
-def _names(text: str, out: list[Segment]) -> None:
-    """Names of persons, and streets that are recognised by their last word."""
+_LETTER = r"A-Za-z0-9_À-ɏЀ-ӿ"
+_CAPITAL = re.compile(rf"(?<![{_LETTER}])[{_UP}][{_LETTER}'’]*(?:-[{_UP}][{_LETTER}]+)*\.?")
+_GAP = re.compile(rf"{_SP}((?:(?:{'|'.join(sorted(W.PARTICLES, key=lambda w: (-len(w), w)))}){_SP}(?:(?:{'|'.join(sorted(W.PARTICLE_ENDS))}){_SP})?)?)")
+_COMMA = re.compile(rf",{_SP}")
+_HAN_FIRST = re.compile(f"[{''.join(sorted({w[0] for w in W.JAPANESE_SURNAMES} | set(W.HAN_SURNAMES)))}]")
+_HAN_NAME = re.compile(rf"(?:(?<![一-鿿々ぁ-んァ-ン])|(?<=[人名户者生工的字系知给は]))(?:(?:{'|'.join(W.JAPANESE_SURNAMES)})[ 　]?[一-鿿々ぁ-んァ-ン]{{1,3}}?|[{''.join(W.HAN_SURNAMES)}][一-鿿]{{1,2}})(?=$|[^一-鿿々ぁ-んァ-ンー]|{'|'.join(W.CJK_HONORIFICS)}|[はがのにとをへもで]|[的是在和与住说])")
+#: Most capitalised words of a name.
+LONGEST_NAME = 4
+
+
+@lru_cache(maxsize=50_000)
+def _word_kind(word: str) -> str:
+    """initial, letter, title, street, thing, stop, given, or word."""
+    bare = word.rstrip(".")
+    low = bare.lower()
+    if len(bare) == 1:
+        return "initial" if word.endswith(".") else "letter"
+    if low in W.TITLES and not bare.isupper():
+        return "title"
+    if bare[0].isupper() and any(map(str.isdigit, bare)):
+        return "stop"
+    plain = low if low.isascii() else fold(bare)
+    if plain in _GIVEN or low in W.GIVEN_CYRILLIC or "-" in plain and plain.split("-")[0] in _GIVEN:
+        return "given"
+    if low in W.STREETS and low not in ("way", "hill", "walk", "close", "green", "rise", "view", "yard", "grove", "gardens") or low.endswith(W.STREET_ENDS) and len(low) > 5:
+        return "street"
+    if low in W.FUNCTION_WORDS:
+        return "stop"
+    if low in ("flat", "apt", "apartment", "unit", "suite") or bare[1] in "'’" and bare[2:3].islower():
+        return "label"
+    if low in W.THINGS:
+        return "thing"
+    if low in W.PERSON_LABELS or low in W.PHONE_LABELS or low in W.THING_LABELS or low in W.ID_LABELS or low in W.EMAIL_LABELS:
+        return "label"
+    return "word"
+
+
+_GIVEN = frozenset(fold(w) for w in W.GIVEN_NAMES) | frozenset(GIVEN)
+
+
+def _names(text: str, words_: set[str], out: list[Segment]) -> None:
+    """Names of persons in Latin and Cyrillic letters, and streets that are recognised by the end of their word; ``words_``: those of the text."""
+    titled = any(w in W.TITLES and len(w) > 1 for w in words_)
     caps = [(m.start(), m.end(), m[0]) for m in _CAPITAL.finditer(text)]
     n = len(caps)
-    kinds = []
-    for s, e, w in caps:
-        bare = w.rstrip(".")
-        low = bare.lower()
-        if len(bare) == 1:
-            kinds.append("initial" if w.endswith(".") else "letter")
-        elif low in TITLES:
-            kinds.append("title")
-        elif low in STREETS or low.endswith(STREET_ENDS) and len(low) > 5:
-            kinds.append("street")
-        elif low in CYRILLIC_GIVEN or (fold(bare) if not bare.isascii() else low) in GIVEN:
-            kinds.append("given")
-        else:
-            kinds.append("word" if len(bare) > 2 else "short")
-
-    def follows(i: int) -> bool:
-        """Whether capitalised word i + 1 stands right after word i, parted by white space only."""
-        return i + 1 < n and (not caps[i][2].endswith(".") or kinds[i] in ("initial", "title")) and bool(_GAP.fullmatch(text, caps[i][1], caps[i + 1][0]))
-
-    def comma(i: int) -> bool:
-        return i + 1 < n and text[caps[i][1] : caps[i + 1][0]].startswith(",") and bool(re.fullmatch(rf",{_SP}", text[caps[i][1] : caps[i + 1][0]]))
-
-    def add(i: int, j: int, shape: str) -> None:
+    kinds = [_word_kind(w) for _, _, w in caps]
+    lefts: dict[int, list[str]] = {}
+    rights: dict[int, list[str]] = {}
+    # what parts a word from the next: 1 white space, 2 white space and particles, 3 a comma, 0 anything else
+    gaps = [0] * n
+    for i in range(n - 1):
+        end, start = caps[i][1], caps[i + 1][0]
+        if start - end > 24:
+            continue
+        if text[end - 1] == "." and kinds[i] not in ("initial", "title"):
+            continue
+        if text[end] == ",":
+            gaps[i] = 3 if _COMMA.fullmatch(text, end, start) else 0
+        elif m := _GAP.fullmatch(text, end, start):
+            gaps[i] = 2 if m[1] else 1
+
+    def add(i: int, j: int, shape: str, *more: str) -> None:
+        if caps[j][2].lower() in W.PARTICLES:
+            return
+        if "Ѐ" <= text[caps[i][0]] <= "ӿ":
+            shape = "cyrillic_" + shape
         start, end = caps[i][0], caps[j][1]
         if kinds[j] != "initial" and text[end - 1] == ".":
             end -= 1
-        span = text[start:end]
-        around = _around(text, start, end)
-        before = kinds[i - 1] if i and follows(i - 1) else ""
-        more = ["after_title"] if before == "title" else ["after_word"] if before == "word" else ["after_initial"] if before in ("initial", "given") else []
-        if j + 1 < n and kinds[j] != "initial" and follows(j):
-            more.append("before_" + kinds[j + 1])
-        letters = [c for c in span if c.isalpha()]
-        more.append("caps" if all(c.isupper() for c in letters) else "mixed")
-        out.append((start, end, "name", _features("name", shape, around, *more)))
+        left = lefts.get(start) or lefts.setdefault(start, _left(text, start))
+        right = rights.get(end) or rights.setdefault(end, _right(text, end))
+        marks = list(more)
+        words = [caps[k][2].rstrip(".") for k in range(i, j + 1) if kinds[k] in ("word", "given")]
+        if any(w.lower() in words_ for w in words):
+            marks.append("common")
+        if len(words) > 1 and words[-1].lower() in words_:
+            marks.append("common_last")
+        if i and gaps[i - 1] in (1, 2):
+            marks.append("after_" + kinds[i - 1])
+        elif i and gaps[i - 1] == 3:
+            marks.append("comma_before")
+        if gaps[j] in (1, 2) and kinds[j] != "initial" and kinds[j + 1] in ("word", "given", "initial", "thing", "street"):
+            marks.append("before_" + kinds[j + 1] + ("_common" if caps[j + 1][2].lower() in words_ else ""))
+        classes = [word_class(w) for w, k in zip(words, (kinds[x] for x in range(i, j + 1) if kinds[x] in ("word", "given"))) if k == "word"]
+        if classes:
+            common = classes.count("common")
+            kind = "all" if common == len(classes) else "some" if common else "none"
+            marks += ["lexicon_" + kind, f"lexicon_{kind}|{shape}"]
+            if "proper" in classes:
+                marks.append("proper_first" if classes[0] == "proper" else "proper_later")
+        if all(w.isupper() for w in words):
+            marks.append("caps")
+        if "\n" in text[start:end]:
+            marks.append("broken")
+        if "L:line" in left and "R:end" in right:
+            marks.append("own_line")
+            marks.append("own_line|" + shape)
+        out.append((start, end, "name", _features("name", shape, left, right, *marks)))
 
     for i in range(n):
         k = kinds[i]
-        if k == "given" and follows(i):
-            j = i + 1
-            while j < n and kinds[j] in ("initial", "letter") and follows(j):
-                j += 1
-            if kinds[j] in ("word", "given") and len(caps[j][2]) > 3:
-                add(i, j, "given_initial_word" if j > i + 1 else "given_word")
-            elif kinds[j] in ("initial", "letter") and j > i:
-                add(i, j, "given_initial")
-        elif k == "initial" and follows(i):
-            j = i + 1
-            while j < n and kinds[j] == "initial" and follows(j):
-                j += 1
-            if kinds[j] in ("word", "given") and len(caps[j][2]) > 3:
-                add(i, j, "initial_word")
-        if k in ("word", "given") and comma(i):
-            j = i + 1
-            shape = "word_given" if kinds[j] == "given" else "word_initial" if kinds[j] == "initial" else ""
-            if shape:
-                while j + 1 < n and kinds[j + 1] == "initial" and follows(j):
-                    j += 1
-                add(i, j, shape if k == "word" else "given_" + shape)
-        if k == "word" and i and kinds[i - 1] == "title" and follows(i - 1):
-            add(i, i, "title_word")
-            if follows(i) and kinds[i + 1] == "word":
-                add(i, i + 1, "title_words")
-        if k in ("word", "given") and follows(i) and kinds[i + 1] == "initial" and "Ѐ" <= text[caps[i][0]] <= "ӿ":
-            j = i + 1
-            while j + 1 < n and kinds[j + 1] == "initial" and follows(j):
-                j += 1
-            add(i, j, "word_initials")
         if k == "street":
             s, e, w = caps[i]
-            low = w.rstrip(".").lower()
-            if low in STREETS and (b := _BEFORE_ENGLISH.search(text, max(0, s - 60), s)):
-                if m := _AFTER_ENGLISH.match(text, s + len(low)):
-                    _address(text, b.start(), m.end(), "number_street", out)
-            elif low.endswith(STREET_ENDS) and (m := _AFTER_GERMAN.match(text, s + len(w.rstrip(".")))):
+            bare = w.rstrip(".")
+            if bare.lower().endswith(W.STREET_ENDS) and (m := _AFTER_GERMAN.match(text, s + len(bare))):
                 _address(text, s, m.end(), "street_number", out)
+            continue
+        if k in ("stop", "title", "thing", "letter", "label"):
+            continue
+        # runs of words from here on, with initials and particles between them
+        j, shape, particle, wordy = i, {"initial": "I", "given": "G", "word": "W"}[k], False, int(k != "initial")
+        while j + 1 < n and gaps[j] in (1, 2) and wordy < LONGEST_NAME and j - i < 6:
+            nxt = kinds[j + 1]
+            if nxt not in ("initial", "letter", "given", "word") or gaps[j] == 2 and kinds[j] == "initial" and k == "initial":
+                break
+            particle = particle or gaps[j] == 2
+            j += 1
+            shape += {"initial": "I", "letter": "I", "given": "G", "word": "W"}[nxt]
+            wordy += nxt in ("given", "word")
+            if nxt in ("given", "word") and (len(caps[j][2].rstrip(".")) > 1) or nxt == "initial" and wordy:
+                add(i, j, shape.replace("II", "I") + ("p" if particle else ""))
+        if k in ("word", "given"):
+            if gaps[i] == 3 and kinds[i + 1] in ("given", "word", "initial"):
+                j = i + 1
+                while gaps[j] == 1 and j + 1 < n and kinds[j + 1] == "initial":
+                    j += 1
+                add(i, j, f"{shape[0]},{ {'given': 'G', 'word': 'W', 'initial': 'I'}[kinds[i + 1]] }")
+            if i and kinds[i - 1] == "title" and gaps[i - 1] == 1:
+                add(i, i, "alone_titled")
+            elif titled:
+                left = lefts.get(caps[i][0]) or lefts.setdefault(caps[i][0], _left(text, caps[i][0]))
+                if "L:title" in left:
+                    add(i, i, "alone_titled")
+
+
+def _han_names(text: str, out: list[Segment]) -> None:
+    for first in _HAN_FIRST.finditer(text):
+        if not (m := _HAN_NAME.match(text, first.start())):
+            continue
+        start, end = m.start(), m.end()
+        right = _right(text, end)
+        if "R:honorific" in right and start + 1 < end and text[end - 2 : end] in W.CJK_HONORIFICS:
+            continue
+        out.append((start, end, "name", _features("name", "han" if m[0][0] in W.HAN_SURNAMES else "japanese", _left(text, start), right)))
