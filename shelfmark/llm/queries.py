@@ -68,14 +68,10 @@ def _text_sizes(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     """The container of every text, or piece of one, for each profile; shorter profiles' lengths are permitted too."""
-    sizes = _text_sizes(spark, base)
-    profiles = sorted((r["capacity_tokens"], r["profile"]) for r in read_table(spark, base, "pack_profiles").collect())
-    lengths = [c for c, _ in profiles]
-    out = None
-    for capacity, profile in profiles:
-        packed = packing.pack(sizes, capacity, lengths).withColumnRenamed("key", "doc_id").withColumn("profile", F.lit(profile)).withColumn("capacity_tokens", F.lit(capacity))
-        out = packed if out is None else out.unionByName(packed)
-    return out
+    # a row per profile written by hand
+    profiles = sorted((r["capacity_tokens"], r["profile"]) for r in read_table(spark, base, "pack_profiles").filter("capacity_tokens > 0").collect())
+    packed = packing.pack_profiles(_text_sizes(spark, base), [(p, c) for c, p in profiles], [c for c, _ in profiles])
+    return packed.withColumnRenamed("key", "doc_id").join(F.broadcast(read_table(spark, base, "pack_profiles").select("profile", "capacity_tokens")), "profile")
 
 
 def p6_report(spark: SparkSession, base: str) -> DataFrame:

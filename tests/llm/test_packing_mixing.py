@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
@@ -30,7 +31,32 @@ def test_plan_is_best_fit(seed):
     sizes = [r.choice([r.randrange(1, 101), r.randrange(1, 20), 50]) for _ in range(r.randrange(1, 800))]
     moves, bins = packing.plan(Counter(sizes), [100])
     assert bins[:, 1].sum() == best_fit(sizes, 100)
-    assert (bins[:, 1] * bins[:, 3]).sum() == sum(sizes) and bins[:, 3].max() <= 100 and moves[:, 2].sum() == len(sizes)
+    assert (bins[:, 1] * bins[:, 3]).sum() == sum(sizes) and bins[:, 3].max() <= 100
+    # every position has one place: looked up item by item, no container holds more than it may
+    order, held = sorted(sizes, reverse=True), Counter()
+    for at, size in enumerate(order):
+        m = moves[moves[:, 0] <= at][-1]
+        held[m[1] + (at - m[0]) // m[2]] += size
+    assert set(held) == set(range(bins[:, 1].sum())) and max(held.values()) <= 100
+
+
+@pytest.mark.parametrize("histogram", [{300: 10**9}, {600: 10**9, 7: 3}, {s: 5_000_000 + s for s in range(1, 4097)}, {s: 1 + s * 7919 % 1000 for s in range(1, 1025)}, {s: 10**12 for s in (1, 2, 3, 500, 1023)}])
+def test_moves_dont_grow_with_items(histogram):
+    lengths = [256, 1024, 4096]
+    began = time.perf_counter()
+    moves, bins = packing.plan(histogram, lengths)
+    assert time.perf_counter() - began < 1
+    assert len(moves) <= len(histogram) * (len(lengths) + 4) * 14
+    assert (bins[:, 1] * bins[:, 3]).sum() == sum(s * n for s, n in histogram.items())
+    assert len(packing.plan({s: n * 1000 for s, n in histogram.items()}, lengths)[0]) <= len(moves) * 2 + 64
+
+
+def test_profiles_in_one_pass_are_as_alone(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, r.randrange(0, 400)) for i in range(500)], "key bigint, tokens bigint")
+    both = packing.pack_profiles(df, [("a", 64), ("b", 256)], [32, 64, 256])
+    for name, capacity in (("a", 64), ("b", 256)):
+        assert sorted(both.filter(F.col("profile") == name).drop("profile").collect()) == sorted(packing.pack(df, capacity, [32, 64, 256]).collect())
 
 
 def packed(spark, rows, capacity, lengths=None):
