@@ -6,10 +6,13 @@ documents, weights never over the cap on repeats; the last step is over sources,
 bound, so that more than ``DRIVER_CELLS`` cells stay a table with a row per topic (``rake_table``).  A
 document's expected number of uses is its cell's weight: the whole part is given to every document of
 the cell, the fraction by sequential Poisson sampling, in which documents come in the order of u / p (u: a
-hash of mix and document, p: the fraction) until the source's tokens are met to within half a document; one or two documents more or less then close most of that gap.
+hash of mix and document, p: the fraction) until the source's tokens are met to within half a document.  The gap that is left is then
+closed by documents used once more or once less, several together where one doesn't do (``close_gaps``).
 
 The size of a mix is the largest for which no source must exceed its cap, unless ``size`` (tokens) is given.  Sources
-without documents can have no share; the others keep their proportions, and the report shows the target missed.
+without documents can have no share; the others keep their proportions, and the report shows the target missed.  The largest size
+is where a cap binds, and the documents of a source at its cap all have the same weight: then languages and topics can't have their shares at the same time, and
+``marginals`` reports what they have; a smaller ``size`` leaves room for them.
 
 Defined results: documents with null source, null or empty text, or of sources that a mix doesn't name aren't used; a null
 language or topic is a class of its own; a share or cap of null, zero or less uses nothing of the source; a source named twice in a
@@ -18,17 +21,17 @@ mix counts with the sum of its shares and the smallest cap; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from shelfmark.session import cut_lineage
 
-#: Documents by which each source's tokens are brought nearer to its goal after sampling.
-REFINEMENTS = 2
 #: Ranges of u / p in which running sums are taken, so that no task has to order a whole source.
 RANGES = 4096
 #: Most cells that the driver rakes; a table with more of them is raked where it lies.
@@ -218,24 +221,81 @@ def mix(sizes: DataFrame, targets: DataFrame, size: float | None = None, seed: s
     rows = fraction.select(*cols, (F.col("whole") + F.col("_more")).alias("repeats")).unionByName(uses.filter("xi is null").select(*cols, F.col("whole").alias("repeats")))
     caps = spark.createDataFrame([(m, s, int(v[1])) for m, r in rules.items() for s, v in r.items()] or [("", "", 0)], "mix_name string, source string, cap int")
     rows = cut_lineage(rows.join(caps, ["mix_name", "source"]))
-    for _ in range(REFINEMENTS):
-        rows = _refine(rows, goal)
-    return rows.filter("repeats > 0").select(*cols, "repeats")
+    return close_gaps(rows, goal).filter("repeats > 0").select(*cols, "repeats")
 
 
-def _refine(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """One document more or less for each source of each mix where that brings its tokens nearer to the goal.
+def best_changes(off: float, more: Sequence[int], less: Sequence[int]) -> list[tuple[int, int]]:
+    """(step, tokens) of the changes that bring ``off`` nearest to 0 among those looked at; sizes that can be used once more and once less.
 
-    Of all documents with room (or use) the one whose tokens are nearest to what is missing (or too much); ties go to the least key.
+    From nothing and from every first change on, sizes are taken by greatest fit: again and again the largest one, each once, that doesn't overshoot
+    what is missing (or too much), and at the end the nearest one, if that is nearer still.
     """
-    given = rows.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("_given"))
-    off = given.join(goal, ["mix_name", "source"]).select("mix_name", "source", (F.col("goal") - F.col("_given")).alias("_off"))
-    both = rows.join(off, ["mix_name", "source"])
-    step = F.when((F.col("_off") > 0) & (F.col("repeats") < F.col("cap")), 1).when((F.col("_off") < 0) & (F.col("repeats") > 0), -1)
-    left = F.abs(F.col("_off") - F.col("tokens") * step)
-    best = both.filter(step.isNotNull() & (left < F.abs("_off"))).groupBy("mix_name", "source").agg(F.min(F.struct(left.alias("left"), "key", step.alias("step"))).alias("_b"))
-    change = best.select("mix_name", "source", F.col("_b.key").alias("key"), F.col("_b.step").alias("_step"))
-    return cut_lineage(rows.join(change, ["mix_name", "source", "key"], "left").select("mix_name", "source", "key", "tokens", (F.col("repeats") + F.coalesce("_step", F.lit(0))).alias("repeats"), "cap"))
+    sizes = {1: sorted(more), -1: sorted(less)}
+
+    def follow(gap: float, taken: list[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
+        step = 1 if gap > 0 else -1
+        row, used = sizes[step], {t for s, t in taken if s == step}
+        i = bisect_right(row, abs(gap))
+        while i:
+            i -= 1
+            if row[i] in used:
+                continue
+            if row[i] <= abs(gap):
+                gap -= step * row[i]
+                taken = [*taken, (step, row[i])]
+                used.add(row[i])
+                i = min(i, bisect_right(row, abs(gap)))
+        i = bisect_right(row, abs(gap))
+        while i < len(row) and row[i] in used:
+            i += 1
+        if i < len(row) and row[i] - abs(gap) < abs(gap):
+            gap, taken = gap - step * row[i], [*taken, (step, row[i])]
+        return abs(gap), taken
+
+    best, changes = min((abs(off), []), follow(off, []), key=lambda x: (x[0], len(x[1])))
+    for step in (1, -1):
+        for t in sizes[step]:
+            if best < 0.5 + 1e-6:  # goals are no whole numbers
+                return changes
+            got, taken = follow(off - step * t, [(step, t)])
+            if got < best - 1e-6:
+                best, changes = got, taken
+    return changes
+
+
+def close_gaps(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` (mix_name, source, key, tokens, repeats, cap) with single uses changed so that each source is nearer to its goal (mix_name, source, goal).
+
+    Documents of one size do the same, so only the different sizes that can be had are gathered for a source, with the least key of each: as many as the
+    longest text has tokens, at most.
+    """
+    off = rows.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("_given")).join(goal, ["mix_name", "source"]).select("mix_name", "source", (F.col("goal") - F.col("_given")).alias("off"))
+    ways = F.array(F.when(F.col("repeats") < F.col("cap"), 1), F.when(F.col("repeats") > 0, -1))
+    sizes = rows.select("mix_name", "source", "tokens", "key", F.explode(ways).alias("_step")).filter("_step is not null").groupBy("mix_name", "source", "_step", "tokens").agg(F.min("key").alias("key"))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        more, less = (group[group["_step"] == s]["tokens"].tolist() for s in (1, -1))
+        taken = pd.DataFrame(best_changes(float(group["off"].iloc[0]), more, less), columns=["_step", "tokens"]).astype({"_step": "int32", "tokens": "int64"})
+        return group.merge(taken, on=["_step", "tokens"])[["mix_name", "source", "key", "_step"]]
+
+    schema = StructType([StructField("mix_name", StringType()), StructField("source", StringType()), StructField("key", rows.schema["key"].dataType), StructField("_step", IntegerType())])
+    changes = sizes.join(off, ["mix_name", "source"]).groupBy("mix_name", "source").applyInPandas(choose, schema).groupBy("mix_name", "source", "key").agg(F.sum("_step").alias("_step"))
+    return rows.join(changes, ["mix_name", "source", "key"], "left").withColumn("repeats", F.col("repeats") + F.coalesce("_step", F.lit(0))).drop("_step")
+
+
+def marginals(chosen: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_name, marginal, class, wanted_share, share) of the languages and topics of each mix.
+
+    ``chosen``: what ``mix`` gives of ``sizes``; wanted are the shares of tokens that a class has among the documents of the mix's sources.
+    """
+    rules = targets.filter("target_share > 0 and max_repeats > 0").select("mix_name", "source").distinct()
+    docs = sizes.filter("tokens > 0").join(F.broadcast(rules), "source")  # a row per rule
+    classes = F.array(F.struct(F.lit("language").alias("marginal"), F.col("language").alias("class")), F.struct(F.lit("topic").alias("marginal"), F.col("topic").alias("class")))
+    both = docs.join(chosen.select("mix_name", "key", "repeats"), ["mix_name", "key"], "left").select("mix_name", "tokens", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.inline(classes))
+    sums = both.groupBy("mix_name", "marginal", "class").agg(F.sum("tokens").alias("_all"), F.sum(F.col("tokens") * F.col("repeats")).alias("_got"))
+    totals = sums.groupBy("mix_name", "marginal").agg(F.sum("_all").alias("_ta"), F.sum("_got").alias("_tg"))
+    share = F.when(F.col("_tg") > 0, F.col("_got") / F.col("_tg")).otherwise(F.lit(0.0))
+    return sums.join(totals, ["mix_name", "marginal"]).select("mix_name", "marginal", "class", (F.col("_all") / F.col("_ta")).alias("wanted_share"), share.alias("share"))
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

@@ -98,6 +98,12 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, base), read_table(spark, base, "mix_targets"))
 
 
+def p7_marginals(spark: SparkSession, base: str) -> DataFrame:
+    """The shares of languages and topics in each mix, with those wanted."""
+    sizes, targets = _mix_sizes(spark, base), read_table(spark, base, "mix_targets")
+    return mixing.marginals(mixing.mix(sizes, targets), sizes, targets)
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return pii.find_segments(read_table(spark, base, "documents")).select("doc_id", "kind", "start_pos").distinct()
 
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_report": p6_report,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p7_marginals": p7_marginals,
         "p8_found": p8_found,
         "p8_redacted": p8_redacted,
     }

@@ -172,3 +172,35 @@ def test_token_counts(spark):
     df = spark.createDataFrame([("",), (None,), ("hello world",), ("a b " * 20000,), ("漢" * 3000,)], "text string")
     got = [r[0] for r in df.select(tokens.token_count(F.col("text"))).collect()]
     assert got[:3] == [0, None, 2] and got[3] > 39000 and got[4] > 3000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_changes_bring_nearer(seed):
+    """Never worse than the best of no, one or two changes; every size at most once each way."""
+    r = random.Random(seed)
+    more, less = (sorted({r.randrange(1, 500) for _ in range(r.randrange(0, 9))}) for _ in range(2))
+    off = r.uniform(-600, 600)
+    got = mixing.best_changes(off, more, less)
+    assert len(set(got)) == len(got) and all(t in (more if s > 0 else less) for s, t in got)
+    left = abs(off - sum(s * t for s, t in got))
+    assert left <= abs(off)
+    for s, row in ((1, more), (-1, less)):
+        assert all(left <= max(abs(off - s * t), 0.5 + 1e-6) + 1e-6 for t in row)
+
+
+def test_changes_by_several_documents():
+    assert mixing.best_changes(1875.0, [9315], [7000, 400, 41]) == [(1, 9315), (-1, 7000), (-1, 400), (-1, 41)]
+    assert mixing.best_changes(0.3, [5], [5]) == []
+    assert mixing.best_changes(100.0, [], []) == []
+
+
+def test_marginals_are_reported(spark):
+    rows = [(i, "a" if i % 3 else "b", ["en", "de", None][i % 5 % 3], "x" if i % 2 else "y", 10 + i % 7) for i in range(400)]
+    sizes = spark.createDataFrame(rows, SIZES)
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2)], TARGETS)
+    got = mixing.marginals(mixing.mix(sizes, targets), sizes, targets).collect()
+    assert {(r.marginal, r["class"]) for r in got} == {("language", "en"), ("language", "de"), ("language", None), ("topic", "x"), ("topic", "y")}
+    for m in ("language", "topic"):
+        assert abs(sum(r.wanted_share for r in got if r.marginal == m) - 1) < 1e-9 and abs(sum(r.share for r in got if r.marginal == m) - 1) < 1e-9
+    assert max(abs(r.wanted_share - r.share) for r in got) < 0.06
+    assert mixing.marginals(mixing.mix(sizes.limit(0), targets), sizes.limit(0), targets).count() == 0
