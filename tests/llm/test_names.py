@@ -83,3 +83,40 @@ def test_long_words_one_edit_apart_meet(n):
         for other in (word[:i] + word[i + 1 :], word[:i] + "é" + word[i:], word[:i] + "é" + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i] + word[i + 2 :]):
             if N.one_edit(word, other):
                 assert keys & set(N.deletions(other)), (n, i, other)
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    """40 forms, each one edit from the next and rarer than it, are one class."""
+    stem = list("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrst")
+    names = {}
+    for i in range(40):
+        names["Anna " + "".join(stem).title()] = 1000 - i
+        stem[i] = chr(97 + (ord(stem[i]) - 97 + 13) % 26)
+    got = classes(spark, names)
+    assert len(got) == 40 and len(set(got.values())) == 1
+
+
+def test_channel_between_forms(spark):
+    got = classes(spark, {"Rasheeda Komornikov": 30, "Rashseda Komornikov": 1, "R. Komornikov": 2, "Komornikov": 1, "Basheeda Komornikov": 1, "Tellurian Institute of Hydrography": 9, "Tellurian Inst. Hydrogr.": 1, "Tellurian Hydrographic Institute": 2, "Tellurian Institute of Hydromancy": 4, "Olivia Komornikov": 20})
+    first = got["Rasheeda Komornikov"]
+    assert all(got[v] == first for v in ("Rashseda Komornikov", "R. Komornikov", "Komornikov", "Basheeda Komornikov"))
+    assert got["Olivia Komornikov"] != first
+    inst = got["Tellurian Institute of Hydrography"]
+    assert got["Tellurian Inst. Hydrogr."] == got["Tellurian Hydrographic Institute"] == inst != got["Tellurian Institute of Hydromancy"]
+
+
+def test_every_spelling_is_judged_by_its_posterior(spark):
+    """A spelling that is unlikely for its reading and yet frequent is a name of its own."""
+    assert N.read_name("Mike Sanganbardal", {})[:3] == N.read_name("Michael Sanganbardal", {})[:3]
+    assert N.read_name("Dr. SANGANBARDAL, MIKE Q.", {})[3] < N.read_name("Mike Sanganbardal", {})[3] < N.read_name("Michael Sanganbardal", {})[3] == 0
+    rows = spark.createDataFrame([("a", 5, "person", "p", "s", 0.0), ("b", 5, "person", "p", "s", -12.0), ("c", 1, "person", "p", "s", -3.0)], "value string, n bigint, kind string, part string, stem string, likelihood double")
+    got = {r.value: r.id for r in L.attribute(rows).collect()}
+    assert got["a"] == got["c"] != got["b"]
+
+
+def test_a_split_class_gives_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIRED", 7)
+    rows = spark.createDataFrame([(f"v{i:02}", 1, "k" if i else "l") for i in range(31)], "value string, n bigint, class string")
+    got = sorted(map(tuple, L.linked_pairs(rows).collect()))
+    assert got == sorted(itertools.combinations([f"v{i:02}" for i in range(1, 31)], 2))
+    assert {(r.canonical, r.spellings) for r in L.class_sizes(rows).collect()} == {("v30", 30), ("v00", 1)}
