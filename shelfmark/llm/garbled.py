@@ -55,10 +55,11 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     """(value, repaired) of the garbled ones among (value, n): distinct strings with their numbers of rows.
 
     ``repaired`` is null where characters are lost.  Word counts cover all values; the words looked up are those of
-    values with other than ASCII characters, joined on the word (both sides hashed, no broadcast of the vocabulary).
+    values with other than ASCII characters, joined on the word, both sides hashed and sorted: the hints keep what grows with the data from being broadcast.
     """
     suspects = values.filter(F.col("value").rlike(r"[^\x20-\x7e]|\?")).select("value")
-    spread = suspects.repartition("value")
+    # a number of its own, as the adaptive plan would put so small a table into one task, whatever it costs to judge
+    spread = suspects.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
     # written down, as it is read four times and costs more than all else
     judged = cut_lineage(spread.withColumn("_j", F.pandas_udf(_judge, JUDGEMENT)("value")).select("value", "_j.*"))
     counts = word_counts(values)
@@ -68,18 +69,18 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     own = own.filter(~(F.col("_word").rlike(r"^\p{L}$") & F.col("_reading").rlike(r"^\p{L}$")))
     lowered = own.select("_word", "_reading", F.lower("_word").alias("_own"), F.lower("_reading").alias("_as"))
     as_, own_ = (counts.select(F.col("word").alias("_" + c), F.col("n").alias("_n_" + c), F.col("different").alias("_d_" + c)) for c in ("as", "own"))
-    looked = lowered.join(as_, "_as").join(own_, "_own", "left").fillna(0, ["_n_own", "_d_own"])
+    looked = lowered.join(as_.hint("merge"), "_as").join(own_.hint("merge"), "_own", "left").fillna(0, ["_n_own", "_d_own"])
     # one value in many rows vouches for nothing: rows decide only where the numbers of different values don't
     more_values = F.col("_d_as") >= least_ratio * F.col("_d_own")
     more_rows = (F.col("_n_as") >= least_ratio * F.col("_n_own")) & (F.col("_d_own") < least_ratio * F.col("_d_as"))
     better = looked.filter((F.col("_n_as") >= least_count) & (more_values | more_rows))
     best = better.groupBy("_word").agg(F.max(F.struct("_n_as", "_reading")).alias("_b")).select("_word", F.col("_b._reading").alias("_right"))
-    put = words.join(best, "_word").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("_word").alias("_l"), "_word", "_right")), asc=False).alias("_pairs"))
+    put = words.join(best.hint("merge"), "_word").groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("_word").alias("_l"), "_word", "_right")), asc=False).alias("_pairs"))
     by_words = put.select("value", F.aggregate("_pairs", F.col("value"), lambda a, p: F.replace(a, p["_word"], p["_right"])).alias("_by_words"))
     # a question mark at the end is lost text if what stands before it is no word of the corpus
     asked = judged.filter(~F.col("lossy") & F.col("value").rlike(r"\pL\?$")).select("value", F.element_at(F.split(F.lower(F.regexp_replace("value", r"\?$", "")), WORD_SEPARATOR), -1).alias("_last"))
-    cut = asked.join(counts.select(F.col("word").alias("_last"), "sure"), "_last", "left").filter(F.coalesce("sure", F.lit(0)) < least_count).select("value", F.lit(True).alias("_cut"))
-    both = judged.join(by_words, "value", "left").join(cut, "value", "left").withColumn("lossy", F.col("lossy") | F.coalesce("_cut", F.lit(False)))
+    cut = asked.join(counts.select(F.col("word").alias("_last"), "sure").hint("merge"), "_last", "left").filter(F.coalesce("sure", F.lit(0)) < least_count).select("value", F.lit(True).alias("_cut"))
+    both = judged.join(by_words.hint("merge"), "value", "left").join(cut.hint("merge"), "value", "left").withColumn("lossy", F.col("lossy") | F.coalesce("_cut", F.lit(False)))
     found = both.filter((F.col("layers") > 0) | F.col("lossy") | F.col("control") | F.col("reading").isNotNull() | F.col("_by_words").isNotNull())
     lost = F.col("lossy") & (F.col("layers") == 0)
     repaired = F.when(F.col("layers") > 0, F.col("repaired")).when(~lost, F.coalesce("_by_words", "reading"))
@@ -96,4 +97,4 @@ def find_garbled(df: DataFrame, key: str = "doc_id", fields: Sequence[str] = ("m
     found = judge_values(distinct_values(df, fields))
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     rows = df.select(F.col(key), F.inline(pairs)).filter(F.col("value").rlike(r"[^\x20-\x7e]|\?"))
-    return rows.join(found, "value").select(key, "field", "value", "repaired")
+    return rows.join(found.hint("merge"), "value").select(key, "field", "value", "repaired")

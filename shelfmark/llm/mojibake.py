@@ -143,23 +143,40 @@ def _unread(run: str, wrong: str, right: str) -> str | None:
         return None
 
 
+def _layer_off(text: str, wrong: str, pattern: re.Pattern) -> str:
+    """What the text becomes when runs of it are re-encoded under a legacy encoding and decoded as UTF-8."""
+
+    def undo(m):
+        got = _unread(m[0], wrong, "utf-8")
+        return m[0] if got is None or _CONTROL.search(got) and not _CONTROL.search(m[0]) else got
+
+    return pattern.sub(undo, text)
+
+
 def _layers_off(text: str) -> list[str]:
-    """What the text becomes when runs of it are re-encoded under each legacy encoding and decoded as UTF-8."""
+    """What the text becomes under each legacy encoding."""
     out = []
     # runs of words first, as double-byte encodings may take in what stands between; then word by word, for text damaged in part
     for pattern in (_NON_ASCII_RUN, _NON_ASCII_WORD):
         for wrong in WRONG_FOR_UTF8:
-
-            def undo(m):
-                got = _unread(m[0], wrong, "utf-8")
-                return m[0] if got is None or _CONTROL.search(got) and not _CONTROL.search(m[0]) else got
-
-            got = pattern.sub(undo, text)
+            got = _layer_off(text, wrong, pattern)
             if got != text and got not in out:
                 out.append(got)
     return out
 
 
+def _chains(text: str) -> list[tuple[str, int]]:
+    """What comes of undoing layers of one and the same encoding, after each of them, as many as there are."""
+    out = []
+    for wrong in WRONG_FOR_UTF8:
+        got, n = text, 0
+        while (more := _layer_off(got, wrong, _NON_ASCII_RUN)) != got:
+            got, n = more, n + 1
+            if n > LOOKAHEAD:
+                out.append((got, n))
+    return out
+
+
 def undo_utf16(text: str) -> str:
     """UTF-16 read byte by byte, its zero bytes dropped: a control character is half of a character.
 
@@ -181,18 +198,41 @@ def undo_utf16(text: str) -> str:
     return "".join(out)
 
 
-def repair_layers(text: str, most: int = 3) -> tuple[str, int]:
-    """The text with its layers of UTF-8 damage undone, as far as the cost drops, and their number.
+def repair_layers(text: str) -> tuple[str, int]:
+    """The text with its layers of UTF-8 damage undone, as long as the cost drops, and their number.
 
-    Of the ways to undo a layer the one counts whose own repair ends at the least cost, so that doubly garbled text
-    isn't led astray by an encoding that looks better for one layer.
+    There is no bound on the layers: what a search finds is searched again until nothing better comes of it.
     """
     if _UTF16.search(text) and len(text) > 2:
         return undo_utf16(text), 1
+    layers = 0
+    while True:
+        found, more = _search(text, LOOKAHEAD)
+        if more:  # deeper ones of one encoding, where a search that looks less far goes astray
+            least = garbling_cost(found) + 0.01 * more
+            for got, n in _chains(text):
+                if (c := garbling_cost(got) + 0.01 * n) < least:
+                    found, more, least = got, n, c
+        text = found
+        if not more:
+            return text, layers
+        layers += more
+
+
+#: Layers that one search looks ahead.
+LOOKAHEAD = 3
+
+
+def _search(text: str, ahead: int) -> tuple[str, int]:
+    """The best of what ``text`` becomes when layers are undone, and their number.
+
+    Of the ways to undo a layer the one counts whose own repair ends at the least cost, so that doubly garbled text
+    isn't led astray by an encoding that looks better for one layer.
+    """
     best, least, layers = text, garbling_cost(text), 0
-    if most and least > 0:
+    if ahead and least > 0:
         for got in _layers_off(text):
-            end, more = repair_layers(got, most - 1)
+            end, more = _search(got, ahead - 1)
             if (c := garbling_cost(end) + 0.01 * more) < least - 0.2:
                 best, least, layers = end, c, more + 1
     return best, layers

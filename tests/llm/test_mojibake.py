@@ -73,3 +73,12 @@ def test_one_garbled_value_in_many_rows(spark):
     right = {f"Ołowska {x}": 2 for x in "ABCDE"} | {f"Żółta {x}": 2 for x in "ABCDE"}
     df = spark.createDataFrame([*right.items(), (bad, 30_000)], "value string, n bigint")
     assert {r.value: r.repaired for r in G.judge_values(df).collect()} == {bad: "Ołowska Żółta Grupa"}
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3, 4, 5, 8])
+@pytest.mark.parametrize("text", ["Łódź – été", "Müller", "Иван"])
+def test_any_number_of_layers(text, layers):
+    got = text
+    for _ in range(layers):
+        got = got.encode("utf-8").decode("latin-1")
+    assert M.repair_layers(got) == (text, layers)
