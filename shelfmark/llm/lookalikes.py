@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut_lineage
+
 # Letters that look the same in Latin, Cyrillic and Greek; '.' where a script has none.
 LATIN = "A B C E H I J K M N O P S T X Y Z a c e h i j o p s v x y k u n".split()
 CYRILLIC = "А В С Е Н І Ј К М . О Р Ѕ Т Х У . а с е һ і ј о р ѕ ѵ х у . . .".split()
@@ -118,7 +120,7 @@ def dominant_script(token: str) -> str:
 
 
 def _plain(values: pd.Series) -> pd.Series:
-    return values.map(plain_form)
+    return values.map(lambda v: None if v is None else plain_form(v))
 
 
 READINGS = "array<struct<token string, reading string, script string, mixed boolean, dominant string>>"
@@ -152,24 +154,27 @@ def vocabulary(plain: DataFrame) -> DataFrame:
 def consistent_forms(values: DataFrame, least_ratio: float = 10.0, least_count: int = 3) -> DataFrame:
     """``values`` (field, row_id, value) with the columns plain and form.
 
-    Only values with other than ASCII characters go through Python.  Tokens are judged once each: their readings are
-    joined with the corpus vocabulary on the word, both sides hashed.
+    The tables are read once: names with their plain form are written to the shared folder, and Python gets only the values with other than
+    ASCII characters.  Tokens are judged once each: their readings are joined with the corpus vocabulary on the word, both sides hashed and sorted.
     """
-    ascii_only = values.filter(F.col("value").rlike(r"^[\x00-\x7f]*$")).withColumn("plain", F.col("value"))
-    others = values.filter(F.col("value").rlike(r"[^\x00-\x7f]")).withColumn("plain", F.pandas_udf(_plain, "string")("value"))
-    words = vocabulary(ascii_only.select("plain").unionByName(others.select("plain")))
+    foreign_value = F.when(F.col("value").rlike(r"[^\x00-\x7f]"), F.col("value"))
+    written = cut_lineage(values.withColumn("_plain", F.pandas_udf(_plain, "string")(foreign_value)).withColumn("plain", F.coalesce("_plain", "value")))
+    ascii_only, others = (written.filter(F.col("_plain").isNull() if a else F.col("_plain").isNotNull()).drop("_plain") for a in (True, False))
+    words = vocabulary(written.select("plain"))
     foreign = others.filter(F.col("plain").rlike(r"[Ͱ-ϿЀ-ԯ]"))
     # A token may have a reading only if it holds a Greek or Cyrillic letter; short or single letters are left alone.
     in_values = foreign.select("field", "row_id", F.explode(F.array_distinct(F.concat(tokens_of(F.col("plain")), whole_tokens(F.col("plain"))))).alias("token")).filter(F.col("token").rlike(r"[Ͱ-ϿЀ-ԯ]"))
     options = in_values.select("token").distinct().select(F.inline(F.pandas_udf(_token_readings, READINGS)("token")))
     options = options.filter(F.col("mixed") | (F.length("token") > 1))
     known = options.withColumn("_r", F.lower("reading")).withColumn("_t", F.lower("token"))
-    known = known.join(words.select(F.col("word").alias("_r"), F.col("n").alias("n_reading")), "_r").join(words.select(F.col("word").alias("_t"), F.col("n").alias("n_token")), "_t", "left")
+    known = known.join(words.select(F.col("word").alias("_r"), F.col("n").alias("n_reading")).hint("merge"), "_r").join(words.select(F.col("word").alias("_t"), F.col("n").alias("n_token")).hint("merge"), "_t", "left")
     other = (F.col("n_reading") >= least_count) & (F.col("n_reading") >= least_ratio * F.coalesce("n_token", F.lit(0)))
     taken = known.filter(F.col("mixed") | other)
-    best = taken.groupBy("token").agg(F.max_by("reading", F.struct("n_reading", (F.col("script") == F.col("dominant")).cast("int"), "reading")).alias("reading"))
-    put = in_values.join(best, "token").groupBy("field", "row_id").agg(F.sort_array(F.collect_list(F.struct(F.length("token").alias("l"), "token", "reading")), asc=False).alias("_pairs"))
-    joined = others.join(put, ["field", "row_id"], "left")
+    # of the readings that occur, the one in the token's dominant script, unless another is ``least_ratio`` times as frequent
+    weight = F.col("n_reading") * F.when(F.col("script") == F.col("dominant"), least_ratio).otherwise(1.0)
+    best = taken.groupBy("token").agg(F.max_by("reading", F.struct(weight.alias("w"), "reading")).alias("reading"))
+    put = in_values.join(best.hint("merge"), "token").groupBy("field", "row_id").agg(F.sort_array(F.collect_list(F.struct(F.length("token").alias("l"), "token", "reading")), asc=False).alias("_pairs"))
+    joined = others.join(put.hint("merge"), ["field", "row_id"], "left")
     form = F.when(F.col("_pairs").isNull(), F.col("plain")).otherwise(F.aggregate("_pairs", F.col("plain"), lambda a, p: F.replace(a, p["token"], p["reading"])))
     # A single letter is a word in every script; it is a look-alike where nothing else in the value is of its script.
     lone = r"(?<![\p{L}\p{N}\p{M}])[" + LONE + r"](?![\p{L}\p{N}\p{M}])"
