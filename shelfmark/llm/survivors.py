@@ -30,8 +30,10 @@ from shelfmark.session import cut_lineage
 
 #: Most values or profiles that one task aligns at a time; more are split into buckets, none is dropped.
 BUCKET = 64
-#: Score of a gap, and cells of the largest table that an alignment takes.
-GAP, TABLE = -0.4, 4_000_000
+#: Scores of a gap, of equal tokens, of other tokens of the same class (which is better than two gaps) and of another class (which is worse).
+GAP, MATCH, CHANGED, UNLIKE = -0.4, 1.1, -0.7, -0.9
+#: Cells of the largest table that an alignment takes.
+TABLE = 4_000_000
 METADATA = ("metadata_title", "metadata_author", "metadata_creator", "metadata_created", "metadata_modified")
 # What writing tools and typists put where they have nothing to say.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "untitled", "not set", "author", "admin", "administrator", "user", "various", "anonymous", "tbd", "?", "d:", "0000-00-00", "0000-00-00 00:00:00", "d:00000000000000", "d:00000000000000z", "d:00000000")
@@ -63,15 +65,17 @@ def _align(columns: list[dict[str, float]], total: float, other: list[dict[str,
         return _align(columns[:half], total, other[:k], other_total) + _align(columns[half:], total, other[k:], other_total)
     gap = GAP
     # tokens with their shares; a pair of columns scores twice the share they have in common, less what a match must be worth
-    left = [{t: w / total for t, w in c.items() if t} for c in columns]
-    right = [[(t, w / other_total) for t, w in c.items() if t] for c in other]
+    left = [({t: w / total for t, w in c.items() if t}, _class_of(c)) for c in columns]
+    right = [([(t, w / other_total) for t, w in c.items() if t], _class_of(c)) for c in other]
 
-    def score(a: dict[str, float], b: list[tuple[str, float]]) -> float:
+    def score(a: tuple[dict[str, float], str], b: tuple[list[tuple[str, float]], str]) -> float:
         same = 0.0
-        for t, w in b:
-            if (v := a.get(t)) is not None:
+        shares = a[0]
+        for t, w in b[0]:
+            if (v := shares.get(t)) is not None:
                 same += v if v < w else w
-        return 2 * same - 0.9
+        base = CHANGED if a[1] == b[1] else UNLIKE
+        return base + (MATCH - base) * same
 
     best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
@@ -101,6 +105,12 @@ def _align(columns: list[dict[str, float]], total: float, other: list[dict[str,
     return out[::-1]
 
 
+def _class_of(column: dict[str, float]) -> str:
+    """Class of a column's weightiest token: letters, digits, white space, or the sign itself."""
+    t = max((t for t in column if t and t[0] not in "\0\1"), key=lambda t: (column[t], t), default="")
+    return "a" if t[:1].isalpha() else "1" if t[:1].isdigit() else " " if t[:1].isspace() else t
+
+
 def _last_row(columns: list[dict[str, float]], total: float, other: list[dict[str, float]], other_total: float) -> np.ndarray:
     """Best scores of all columns against the first j of ``other``, for each j; a row of memory at a time."""
     at: dict[str, tuple[list[int], list[float]]] = {}
@@ -111,14 +121,16 @@ def _last_row(columns: list[dict[str, float]], total: float, other: list[dict[st
                 places.append(j)
                 shares.append(w / other_total)
     found = {t: (np.array(p), np.array(w)) for t, (p, w) in at.items()}
+    classes = np.array([_class_of(c) for c in other], dtype=object)
     slope = GAP * np.arange(len(other) + 1)
     row = slope.copy()
     for c in columns:
-        score = np.full(len(other), -0.9)
+        base = np.where(classes == _class_of(c), CHANGED, UNLIKE)
+        score = base.copy()
         for t, w in c.items():
             if t in found:
                 places, shares = found[t]
-                score[places] += 2 * np.minimum(shares, w / total)
+                score[places] += (MATCH - base[places]) * np.minimum(shares, w / total)
         new = row + GAP
         new[1:] = np.maximum(new[1:], row[:-1] + score)
         row = np.maximum.accumulate(new - slope) + slope
@@ -183,8 +195,9 @@ def votes_for(value: str, profile: str | dict) -> list[tuple[int, int, str]]:
 
 
 def consensus_tokens(profile: str) -> list[str]:
-    """The weightiest token of each column; none where gaps have most weight."""
-    return [t for c in json.loads(profile)["c"] if (t := min(c, key=lambda x: (-c[x], x)))]
+    """The weightiest token of each column; none where gaps have most weight, and no white space before a place without a token."""
+    best = [min(c, key=lambda x: (-c[x], x)) for c in json.loads(profile)["c"]]
+    return [t for t, after in zip(best, [*best[1:], "."]) if t and not (t.isspace() and not after)]
 
 
 def distance(value: str, consensus: Sequence[str]) -> float:

@@ -79,7 +79,7 @@ def test_long_values_are_aligned(monkeypatch):
     a = [r.choice("abcdefgh") for _ in range(120)]
     b = [x for x in a if r.random() > 0.2]
     one = lambda v: [{t: 1.0} for t in v]
-    score = lambda p: sum(1.1 if len(c) == 1 and "" not in c else V.GAP if "" in c else -0.9 for c in p)
+    score = lambda p: sum(V.MATCH if len(c) == 1 and "" not in c else V.GAP if "" in c else V.CHANGED for c in p)
     want, far = score(V._align(one(a), 1.0, one(b), 1.0)), V.distance("".join(f"{x} " for x in a), [t for x in b for t in (x, " ")])
     monkeypatch.setattr(V, "TABLE", 50)
     assert abs(score(V._align(one(a), 1.0, one(b), 1.0)) - want) < 1e-9
@@ -93,3 +93,57 @@ def test_edges(spark):
     assert r.dominates is False and r.doc_id == 1 and r.file_name == "n.pdf" and r.path_id is None
     long = [doc(1, "s", "w " * 3000 + "a"), doc(2, "s", None), doc(3, "s", "w " * 3000 + "b")]
     assert V.surviving_records(*tables(spark, long)).count() == 1
+
+
+def planted(groups, seed=7):
+    """Names with copies: the original is the value of most weight in one group out of two, everywhere it is what the copies have in common."""
+    r = random.Random(seed)
+    words = "river delta lantern harbor willow copper meadow signal orchard turbine glacier lattice".split()
+    rows, originals = [], {}
+    for g in range(groups):
+        name = " ".join(r.choice(words).title() for _ in range(r.randrange(2, 6))) + ".pdf"
+        originals[f"g{g}"] = name
+        rows.append((f"g{g}", "f", name, 1.0))
+        for _ in range(r.randrange(3, 9)):
+            parts = name[:-4].split(" ")
+            i = r.randrange(len(parts))
+            how = r.randrange(4)
+            if how == 0:
+                parts[i] = parts[i][:-1]
+            elif how == 1:
+                parts[i] = parts[i] + r.choice("abcdef")
+            elif how == 2:
+                parts.append(r.choice(["copy", "final", "v2", "(1)"]))
+            else:
+                parts[i] = r.choice(words)
+            rows.append((f"g{g}", "f", " ".join(parts) + ".pdf", r.choice([1.0, 1.0, 1.3])))
+    return rows, originals
+
+
+def test_planted_originals_survive(spark):
+    rows, originals = planted(150)
+    votes = spark.createDataFrame(rows, "key string, field string, value string, weight double")
+    got = {r.key: r.value for r in V.consensus_values(votes).collect()}
+    right = sum(got[k] == v for k, v in originals.items())
+    assert right / len(originals) >= 0.9, right  # in the others more weight has the same damage than none
+
+
+def test_any_bucket_gives_the_same_values(spark):
+    r = random.Random(5)
+    rows = []
+    for g in range(6):
+        name = f"Handbook of {'Tidal Rivers and Lakes'[: 8 + 2 * g]} Part {g}"
+        rows += [(f"k{g}", "f", name, 5.0)]
+        for i in range(80):
+            at = r.randrange(len(name))
+            rows.append((f"k{g}", "f", name[:at] + r.choice("xyz") + name[at + r.randrange(2) :] + (f" {i}" if i % 5 == 0 else ""), r.choice([1.0, 2.0])))
+    votes = spark.createDataFrame(rows, "key string, field string, value string, weight double")
+    want = {(x.key, x.value) for x in V.consensus_values(votes, 1000).collect()}
+    for bucket in (4, 16, 64):
+        assert {(x.key, x.value) for x in V.consensus_values(votes, bucket).collect()} == want, bucket
+
+
+def test_ten_thousand_tokens(spark):
+    tail = " ".join(f"w{i % 97}" for i in range(5000))
+    votes = spark.createDataFrame([("k", "f", v, w) for v, w in ((f"a {tail}", 1.2), (f"b {tail}", 1.0), ("q", 1.0))], "key string, field string, value string, weight double")
+    assert V.consensus_values(votes).first().value == f"a {tail}"
