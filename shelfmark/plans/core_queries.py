@@ -24,12 +24,14 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_zones(spark: SparkSession, base: str) -> DataFrame:
-    """(source, zone, violations, evidence, declared_zone): the offset history chosen for each source's clock."""
+    """(source, from_day, zone, violations, evidence, estimated_zone, declared_zone): the offset history of each source's clock.
+
+    ``estimated_zone`` is what the evidence alone gives.
+    """
     documents, sources = read_table(spark, base, "documents"), read_table(spark, base, "corpus_sources")
-    dated = documents.join(sources.select("source", F.col("date_order").alias("_order")), "source", "left")
-    values = instants.parse_values(dated, "doc_id", ["metadata_created", "metadata_modified"], "source", "_order")
-    declared = sources.select("source", F.col("home_zone").alias("zone"))
-    return instants.estimate_zones(values, _seen(documents, read_table(spark, base, "scan_jobs")), "doc_id", "source", "metadata_created", "metadata_modified", declared)
+    fields = ("metadata_created", "metadata_modified")
+    values, declared = instants.source_values(documents, sources, "doc_id", fields, "source")
+    return instants.estimate_zones(instants.offset_evidence(values, _seen(documents, read_table(spark, base, "scan_jobs")), "doc_id", "source", *fields), "source", declared)
 
 
 _CATALOGS = (registry_queries.catalog, taxonomy_queries.catalog, workflow_queries.catalog)

@@ -1,8 +1,10 @@
 """Notations, zones and their edges; the operator's defined results."""
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import instants as I
 
@@ -54,23 +56,66 @@ def test_date_order(spark, order, want):
     assert run(spark, ["03/04/2020 10:00"], "UTC", order) == {(0, "metadata_created"): want}
 
 
-def test_estimated_zone(spark):
-    """Without a declared zone the history is the one that keeps values before their ingestion and in order."""
-    values, modified, seen = [], {}, {}
-    for i in range(40):
-        local = dt.datetime(2020, 1, 5 + i % 20, 9, i)  # Tokyo wall clock
-        values.append(local.strftime("%Y-%m-%d %H:%M:%S"))
-        instant = utc(*local.timetuple()[:6]) - 9 * 3600
-        seen[i] = instant + 600
-        modified[i] = dt.datetime.fromtimestamp(instant - 600, dt.timezone.utc).strftime("D:%Y%m%d%H%M%SZ")
-    # created after modified is a violation of order; here the modified field is before, so only ingestion bounds
-    docs = spark.createDataFrame([(i, v, None, "s") for i, v in enumerate(values)], "doc_id bigint, metadata_created string, metadata_modified string, source string")
+def zones_of(spark, docs, seen=(), declared=(("s", None),)):
+    """Rows (from_day, zone, estimated_zone) for docs (doc_id, created, modified, source, file)."""
+    df = spark.createDataFrame(docs, "doc_id bigint, metadata_created string, metadata_modified string, source string, sha256 string")
+    src = spark.createDataFrame([(s, z, "mdy") for s, z in declared], SOURCES)
+    bounds = spark.createDataFrame(list(seen), "doc_id bigint, seen_s bigint")
+    fields = ("metadata_created", "metadata_modified")
+    values, told = I.source_values(df, src, "doc_id", fields, "source")
+    rows = I.estimate_zones(I.offset_evidence(values, bounds, "doc_id", "source", *fields), "source", told).orderBy(F.col("from_day").asc_nulls_first()).collect()
+    return [(r.from_day, r.zone, r.estimated_zone) for r in rows]
+
+
+def wall(instant, zone):
+    return dt.datetime.fromtimestamp(instant, ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S")
+
+
+YEAR = [utc(2019, 1, 7, 12) + i * 9 * 86400 + i * 977 for i in range(80)]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Denver", "Europe/London", "UTC", "Australia/Sydney", "Asia/Kathmandu"])
+def test_zone_from_copies(spark, zone):
+    """Copies of a file tell the offset of a clock on the days of its values, and so the zone."""
+    docs = [(i, wall(t, zone), None, "s", f"f{i}") for i, t in enumerate(YEAR)] + [(1000 + i, dt.datetime.fromtimestamp(t, dt.timezone.utc).strftime("D:%Y%m%d%H%M%SZ"), None, "other", f"f{i}") for i, t in enumerate(YEAR)]
+    assert zones_of(spark, docs) == [(None, zone, zone)]
+
+
+def test_zone_from_written_offsets_ingestion_and_order(spark):
+    """Sydney: its tools write its offsets; nothing is later than its ingestion or out of order."""
+    docs, seen = [], []
+    for i, t in enumerate(YEAR):
+        local = dt.datetime.fromtimestamp(t, ZoneInfo("Australia/Sydney"))
+        docs.append((i, local.strftime("%Y-%m-%d %H:%M:%S"), dt.datetime.fromtimestamp(t + 1800, ZoneInfo("Australia/Sydney")).strftime("%Y-%m-%d %H:%M:%S%z") if i % 2 else None, "s", None))
+        seen.append((i, t + 3600))
+    assert zones_of(spark, docs, seen) == [(None, "Australia/Sydney", "Australia/Sydney")]
+
+
+def test_clock_moved_to_another_zone(spark):
+    zone = lambda t: "Asia/Tokyo" if t < YEAR[40] else "America/Chicago"
+    docs = [(i, wall(t, zone(t)), None, "s", f"f{i}") for i, t in enumerate(YEAR)] + [(1000 + i, str(t), None, "o", f"f{i}") for i, t in enumerate(YEAR)]
+    (a, b) = zones_of(spark, docs)
+    assert (a[0], a[1], b[1]) == (None, "Asia/Tokyo", "America/Chicago") and abs(b[0] - YEAR[40] // 86400) <= 31
+
+
+def test_undecided_and_declared(spark):
+    """Bounds of days say nothing of hours; a declared zone decides, outside the list too, and is given up only against evidence."""
+    loose = [(i, wall(t, "Asia/Tokyo"), None, "s", None) for i, t in enumerate(YEAR)]
+    late = [(i, t + 20 * 86400) for i, t in enumerate(YEAR)]
+    assert zones_of(spark, loose, late) == [(None, None, None)]
+    assert zones_of(spark, loose, late, [("s", "Asia/Kabul")]) == [(None, "Asia/Kabul", None)]
+    sure = loose[:0] + [(i, wall(t, "Asia/Kabul"), None, "s", f"f{i}") for i, t in enumerate(YEAR)] + [(1000 + i, str(t), None, "o", f"f{i}") for i, t in enumerate(YEAR)]
+    assert zones_of(spark, sure, (), [("s", "Asia/Kabul")]) == [(None, "Asia/Kabul", "Asia/Kabul")]
+    tokyo = [(i, wall(t, "Asia/Tokyo"), None, "s", f"f{i}") for i, t in enumerate(YEAR)] + sure[len(YEAR) :]
+    assert zones_of(spark, tokyo, (), [("s", "Asia/Kabul")])[0][1] == "Asia/Tokyo"
+    assert zones_of(spark, [], (), [("s", "Asia/Kabul"), ("t", None)]) == [(None, "Asia/Kabul", None)]
+
+
+def test_instants_without_declared_zone(spark):
+    df = spark.createDataFrame([(i, wall(t, "Asia/Tokyo"), "s", f"f{i}") for i, t in enumerate(YEAR)] + [(1000 + i, str(t), "o", f"f{i}") for i, t in enumerate(YEAR)], "doc_id bigint, metadata_created string, source string, sha256 string").withColumn("metadata_modified", F.lit(None).cast("string"))
     src = spark.createDataFrame([("s", None, "mdy")], SOURCES)
-    bounds = spark.createDataFrame(list(seen.items()), "doc_id bigint, seen_s bigint")
-    read = I.parse_values(docs.withColumnRenamed("source", "source").selectExpr("*", "'mdy' as o"), "doc_id", ["metadata_created", "metadata_modified"], "source", "o")
-    zones = I.estimate_zones(read, bounds, "doc_id", "source", "metadata_created", "metadata_modified", src.selectExpr("source", "home_zone as zone")).collect()
-    assert len(zones) == 1 and zones[0].violations == 0
-    assert zones[0].zone in ("Asia/Tokyo", "Australia/Sydney")  # the bounds allow clocks further east
+    got = {r.doc_id: r.utc_second for r in I.to_instants(df, src, spark.createDataFrame([], "doc_id bigint, seen_s bigint")).collect()}
+    assert all(got[i] == got[1000 + i] == t for i, t in enumerate(YEAR))
 
 
 def test_empty_and_repeated(spark):
