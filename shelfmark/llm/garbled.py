@@ -58,11 +58,11 @@ def judge_values(values: DataFrame, least_ratio: float = 3.0, least_count: int =
     values with other than ASCII characters, joined on the word, both sides hashed and sorted: the hints keep what grows with the data from being broadcast.
     """
     suspects = values.filter(F.col("value").rlike(r"[^\x20-\x7e]|\?")).select("value")
-    # a number of its own, as the adaptive plan would put so small a table into one task, whatever it costs to judge
-    spread = suspects.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    # a number and a key of its own, as the adaptive plan would put so small a table into one task, whatever it costs to judge
+    spread = suspects.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
     # written down, as it is read four times and costs more than all else
     judged = cut_lineage(spread.withColumn("_j", F.pandas_udf(_judge, JUDGEMENT)("value")).select("value", "_j.*"))
-    counts = word_counts(values)
+    counts = cut_lineage(word_counts(values))
     words = judged.filter((F.col("layers") == 0) & ~F.col("lossy")).select("value", F.explode(F.array_distinct(F.split("value", WORD_SEPARATOR))).alias("_word")).filter(F.col("_word").rlike(r"[^\x00-\x7f]"))
     own = words.select("_word").distinct().withColumn("_reading", F.explode(F.pandas_udf(_readings, "array<string>")("_word")))
     # a letter read as another letter says nothing when it stands alone

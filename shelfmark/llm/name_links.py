@@ -95,18 +95,19 @@ def clean_names(values: DataFrame) -> DataFrame:
     """(value, n) without names that stand for nobody and without garbled ones."""
     text = F.lower(F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     someone = values.filter(~text.isin(*N.NOBODY))
-    return someone.join(judge_values(values).select("value"), "value", "left_anti")
+    # written down, as all that follows reads it again and again, and no plan should hold the judging of values twice
+    return cut_lineage(someone.join(judge_values(values).select("value"), "value", "left_anti"))
 
 
 def lexicon(spelt: DataFrame) -> DataFrame:
     """(word, as_, short): words of names that are common, as themselves, their typos, as the common word, and what is short for or derived from one."""
-    pairs = spelt.select(F.inline(F.pandas_udf(_neighbours, "array<struct<word string, other string>>")("value")))
+    pairs = cut_lineage(spelt.select(F.inline(F.pandas_udf(_neighbours, "array<struct<word string, other string>>")("value"))).distinct())
     seen = cut_lineage(pairs.groupBy("word").agg(F.count_distinct(F.when(F.col("other") != F.col("word"), F.col("other"))).alias("beside")))
     # a given name stands beside surnames, which are rarer than itself; a surname beside given names, which are not
-    rarer = pairs.distinct().join(seen, "word").join(seen.select(F.col("word").alias("other"), F.col("beside").alias("_b")), "other").filter("_b < beside").groupBy("word").agg(F.count("*").alias("rarer"))
+    rarer = pairs.join(seen, "word").join(seen.select(F.col("word").alias("other"), F.col("beside").alias("_b")), "other").filter("_b < beside").groupBy("word").agg(F.count("*").alias("rarer"))
     static = F.col("word").isin(*sorted(N.STATIC))
     common = seen.join(rarer, "word", "left").filter(static | (F.coalesce("rarer", F.lit(0)) >= COMMON)).select("word")
-    common = common.unionByName(spelt.sparkSession.createDataFrame([(w,) for w in sorted(N.STATIC)], "word string")).distinct()
+    common = cut_lineage(common.unionByName(spelt.sparkSession.createDataFrame([(w,) for w in sorted(N.STATIC)], "word string")).distinct())
     dels = F.pandas_udf(_deletions, "array<string>")
     rare = seen.filter(~static).filter(F.length("word") > 2).select(F.col("word").alias("typo"), F.explode(dels("word")).alias("d"))
     near = rare.join(common.filter(F.length("word") > 2).select(F.col("word").alias("as_"), F.explode(dels("word")).alias("d")), "d").filter("typo <> as_").drop("d").distinct()
@@ -119,7 +120,7 @@ def lexicon(spelt: DataFrame) -> DataFrame:
     dotted = spelt.select(F.explode(F.pandas_udf(_dotted, "array<string>")("value")).alias("word")).distinct()
     abbreviated = dotted.join(roots.withColumn("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("as_") - 1), lambda n: F.substring("as_", F.lit(1), n)))), "word").join(same, "word", "left_anti")
     short = derived.select("word", "as_", "beside").unionByName(abbreviated.select("word", "as_", "beside")).groupBy("word").agg(F.max_by("as_", F.struct("beside", "as_")).alias("as_"))
-    return same.withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True)))
+    return cut_lineage(same.withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True))))
 
 
 def _typos(near: DataFrame, spelt: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _typos(near: DataFrame, spelt: DataFrame) -> DataFrame:
     ``RARE_TIMES`` the rows of its typo in the whole table, and a long fixed word of organisations always.  Only shares and ratios
     count, so that the size of the table doesn't matter.
     """
-    inside = spelt.select(F.inline(F.pandas_udf(_rests, "array<struct<word string, rest bigint>>")("value")), "n").groupBy("word", "rest").agg(F.sum("n").alias("n"))
+    inside = cut_lineage(spelt.select(F.inline(F.pandas_udf(_rests, "array<struct<word string, rest bigint>>")("value")), "n").groupBy("word", "rest").agg(F.sum("n").alias("n")))
     typo = near.join(inside.select(F.col("word").alias("typo"), "rest", F.col("n").alias("n_typo")), "typo")
     both = typo.join(inside.select(F.col("word").alias("as_"), "rest", F.col("n").alias("n_as")), ["as_", "rest"], "left")
     sums = both.groupBy("typo", "as_").agg(F.count("*").alias("names"), F.count("n_as").alias("met"), F.sum(F.when(F.col("n_as").isNotNull(), F.col("n_typo"))).alias("n_typo"), F.sum("n_as").alias("n_as"))
@@ -164,7 +165,7 @@ def attach(forms: DataFrame) -> DataFrame:
     long = F.length("stem") >= LEAST_STEM
     # the first of all full given names of a stem, by initial and of all
     people = ranked.filter(person & (F.col("full") == 2))
-    by_lead = people.groupBy("stem", "lead").agg(F.max(rank).alias("c"))
+    by_lead = cut_lineage(people.groupBy("stem", "lead").agg(F.max(rank).alias("c")))
     by_stem = by_lead.groupBy("stem").agg(F.max("c").alias("c"))
     short, bare = ranked.filter(person & (F.col("full") == 1)), ranked.filter(person & (F.col("full") == 0))
     log = {k: F.lit(math.log(v)) for k, v in (("typo", TYPO), ("initial", INITIAL), ("left", LEFT_OUT), ("short", ABBREVIATION))}
@@ -175,14 +176,14 @@ def attach(forms: DataFrame) -> DataFrame:
     # typos in the stem: equal parts, or an initial and the first of its given names; in the part: equal stems
     keyed = ranked.filter(long).select("kind", "part", "stem", F.struct("full", "n", "id").alias("v"), F.explode(dels("stem")).alias("d"))
     pairs = keyed.join(keyed.select("kind", "part", F.col("stem").alias("c_stem"), F.col("v").alias("c"), "d"), ["kind", "part", "d"]).filter("c > v").drop("d").distinct()
-    met.append(pairs.filter(near("stem", "c_stem")).select("v", "c", log["typo"].alias("p")))
+    met.append(cut_lineage(pairs.filter(near("stem", "c_stem")).select("v", "c", log["typo"].alias("p"))))
     short_keys = short.filter(long).select(variant, "stem", "lead", F.explode(dels("stem")).alias("d"))
     lead_keys = by_lead.filter(long).select("c", F.col("stem").alias("c_stem"), "lead", F.explode(dels("stem")).alias("d"))
     pairs = short_keys.join(lead_keys, ["lead", "d"]).drop("d").distinct()
-    met.append(pairs.filter(near("stem", "c_stem")).select("v", "c", (log["typo"] + log["initial"]).alias("p")))
+    met.append(cut_lineage(pairs.filter(near("stem", "c_stem")).select("v", "c", (log["typo"] + log["initial"]).alias("p"))))
     parts = people.filter(F.length("part") >= LEAST_PART).select("stem", "part", variant, F.explode(dels("part")).alias("d"))
     pairs = parts.join(parts.select("stem", F.col("part").alias("c_part"), F.col("v").alias("c"), "d"), ["stem", "d"]).filter("c > v").drop("d").distinct()
-    met.append(pairs.filter(near("part", "c_part")).select("v", "c", log["typo"].alias("p")))
+    met.append(cut_lineage(pairs.filter(near("part", "c_part")).select("v", "c", log["typo"].alias("p"))))
     # one of several words of an organisation abbreviated or with another ending, the others equal
     words = F.split("stem", " ")
     several = ranked.filter(~person & (F.size(words) > 1)).select("kind", "part", F.struct("full", "n", "id").alias("v"), words.alias("_w"), F.posexplode(words).alias("_i", "word"))
@@ -217,7 +218,7 @@ def attribute(read: DataFrame) -> DataFrame:
 
 def name_classes(values: DataFrame) -> DataFrame:
     """(value, n, class): the class of every spelling among (value, n) that names one person or organisation."""
-    spelt = cut_lineage(attribute(read_names(clean_names(values))))
+    spelt = cut_lineage(attribute(cut_lineage(read_names(clean_names(values)))))
     forms = spelt.groupBy("id", "kind", "part", "stem").agg(F.sum("n").alias("n"))
     return spelt.join(attach(forms), "id").select("value", "n", F.col("root").alias("class"))
 
