@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import timestamps as T
-from shelfmark.session import cut_lineage
+from shelfmark.session import cut_lineage, small_side
 
 #: Offset histories tried for a source, besides the one it declares: zones that differ in offset or in their changes.
 CANDIDATE_ZONES = (
@@ -139,7 +139,7 @@ def estimate_zones(evidence: DataFrame, group: str, declared: DataFrame, candida
     """
     known = known_zones(evidence)
     told = declared.select(F.col(group), F.col("zone").alias("declared_zone")).filter(F.col("zone").isin(known))
-    tried = evidence.join(told, group, "left").withColumn("zone", F.explode(F.array_union(F.lit(sorted(set(candidates))), F.array_compact(F.array("declared_zone")))))
+    tried = evidence.join(small_side(told), group, "left").withColumn("zone", F.explode(F.array_union(F.lit(sorted(set(candidates))), F.array_compact(F.array("declared_zone")))))
     off = T.bind(tried, _off=F.round(T.offset_at(F.col("day").cast("bigint") * 86400 + 43200, F.col("zone")) / QUARTER).cast("int"))
     wrong = F.when(F.col("kind") == "is", F.col("_off") != F.col("x")).when(F.col("kind") == "least", F.col("_off") < F.col("x")).when(F.col("kind") == "most", F.col("_off") > F.col("x")).otherwise(F.lit(False))
     month = F.floor(F.col("day") / 30).cast("int").alias("month")
@@ -181,11 +181,12 @@ def to_instants(df: DataFrame, sources: DataFrame, bounds: DataFrame, key: str =
     ``sources``: (group, home_zone, date_order); ``bounds``: (key, seen_s); ``file``: the column that copies of a file share, if there is one.
     """
     values, declared = source_values(df, sources, key, fields, group, file)
-    zones = estimate_zones(offset_evidence(values, bounds, key, group, fields[0], fields[-1]), group, declared)
+    zones = cut_lineage(estimate_zones(offset_evidence(values, bounds, key, group, fields[0], fields[-1]), group, declared))
     until = F.lead("from_day").over(Window.partitionBy(group).orderBy(F.col("from_day").asc_nulls_first()))
     spans = zones.withColumn("_until", until).select(group, F.col("zone").alias("_zone"), "from_day", "_until").filter("_zone is not null")
     day = F.floor(F.col("local_s") / 86400)
-    open_rows = values.filter(F.col("zone") == "").join(spans, group).filter((F.col("from_day").isNull() | (day >= F.col("from_day"))) & (F.col("_until").isNull() | (day < F.col("_until"))))
+    # a third of all rows may be of one source: its few histories go to the rows, not the rows to them
+    open_rows = values.filter(F.col("zone") == "").join(small_side(spans), group).filter((F.col("from_day").isNull() | (day >= F.col("from_day"))) & (F.col("_until").isNull() | (day < F.col("_until"))))
     solved = T.bind(open_rows.drop("utc_s"), utc_s=T.resolve_wall_clock(F.col("local_s"), F.col("_zone"))).select(key, "field", "utc_s")
     out = values.filter(F.col("utc_s").isNotNull()).select(key, "field", "utc_s").unionByName(solved)
     return out.filter(F.col("utc_s").isNotNull()).withColumnRenamed("utc_s", "utc_second")

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -42,6 +43,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows of a table that is broadcast because it was counted.
+SMALL_ROWS = 20_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (written down, of few and narrow columns) with a broadcast hint if it has ``limit`` rows at most, else as it is.
+
+    For joins on keys that few values share, where hashing both sides would give all rows of a key to one task.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def has_columns(df: DataFrame, *names: str) -> bool:
     """Whether every name is a column of ``df``."""
     return set(names) <= set(df.columns)
