@@ -139,8 +139,13 @@ def estimate_zones(evidence: DataFrame, group: str, declared: DataFrame, candida
     """
     known = known_zones(evidence)
     told = declared.select(F.col(group), F.col("zone").alias("declared_zone")).filter(F.col("zone").isin(known))
-    tried = evidence.join(small_side(told), group, "left").withColumn("zone", F.explode(F.array_union(F.lit(sorted(set(candidates))), F.array_compact(F.array("declared_zone")))))
-    off = T.bind(tried, _off=F.round(T.offset_at(F.col("day").cast("bigint") * 86400 + 43200, F.col("zone")) / QUARTER).cast("int"))
+    # at most the zones there are
+    zones = sorted(set(candidates) | {r["declared_zone"] for r in told.select("declared_zone").distinct().collect()})
+    # each zone's offset is looked up once a day, whatever the number of groups and offsets
+    hours = T.bind(evidence.select("day").distinct().withColumn("zone", F.explode(F.lit(zones))), _off=F.round(T.offset_at(F.col("day").cast("bigint") * 86400 + 43200, F.col("zone")) / QUARTER).cast("int"))
+    offsets = hours.groupBy("day").agg(F.collect_list(F.struct("zone", "_off")).alias("_zones"))
+    tried = evidence.join(small_side(told), group, "left").join(offsets, "day").select(*evidence.columns, "declared_zone", F.inline("_zones"))
+    off = tried.filter(F.col("zone").isin(sorted(set(candidates))) | (F.col("zone") == F.col("declared_zone")))
     wrong = F.when(F.col("kind") == "is", F.col("_off") != F.col("x")).when(F.col("kind") == "least", F.col("_off") < F.col("x")).when(F.col("kind") == "most", F.col("_off") > F.col("x")).otherwise(F.lit(False))
     month = F.floor(F.col("day") / 30).cast("int").alias("month")
     sums = off.groupBy(group, month, "zone", "declared_zone").agg(
