@@ -51,6 +51,11 @@ def delete_paths(paths: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFram
     return left, hit.join(counts, "sha256", "left").select("rel_path", "sha256", F.coalesce("remaining", F.lit(0)).alias("remaining"))
 
 
+def delete_scans(state: DataFrame, report: DataFrame) -> DataFrame:
+    """Scan state without the rows of deleted paths (``rel_path`` of the report)."""
+    return state.join(report.select("rel_path"), "rel_path", "left_anti").select(*state.columns)
+
+
 def move_paths(paths: DataFrame, moves: DataFrame) -> DataFrame:
     """(old_path, new_path, sha256, outcome) of moves: the old path must be known and the new one free.
 
@@ -79,3 +84,17 @@ def moved_paths(paths: DataFrame, outcomes: DataFrame) -> DataFrame:
     gone = outcomes.filter("outcome in ('moved', 'dropped')").select(F.col("old_path").alias("rel_path"))
     new = outcomes.filter("outcome = 'moved'").select("sha256", F.col("new_path").alias("rel_path"))
     return paths.select("sha256", "rel_path").join(gone, "rel_path", "left_anti").select("sha256", "rel_path").unionByName(new)
+
+
+def moved_scans(state: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Scan state after the moves that ``move_paths`` judged: rows of moved paths are renamed, in place of any that lay there."""
+    moves = outcomes.filter("outcome = 'moved'").select(F.col("old_path").alias("rel_path"), F.col("new_path").alias("_new"))
+    hit = state.join(moves, "rel_path").select(*[F.col("_new").alias(c) if c == "rel_path" else F.col(c) for c in state.columns])
+    rest = state.join(moves.select("rel_path"), "rel_path", "left_anti").join(hit.select("rel_path"), "rel_path", "left_anti")
+    return rest.select(*state.columns).unionByName(hit)
+
+
+def moved_names(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Documents named after the path they were moved to; of several the last in path order."""
+    names = outcomes.filter("outcome = 'moved'").groupBy("sha256").agg(X.basename(F.max("new_path")).alias("_name"))
+    return documents.join(names, "sha256", "left").select(*[F.coalesce("_name", "file_name").alias("file_name") if c == "file_name" else F.col(c) for c in documents.columns])

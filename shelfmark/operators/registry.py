@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark import schemas
 from shelfmark.functions import text as X
 
 
@@ -72,6 +74,44 @@ def carry_over(suggestions: DataFrame, known: DataFrame) -> DataFrame:
     return suggestions.join(known.select("sha256"), "sha256", "left_semi")
 
 
+def document_rows(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the documents table from extracted or nested records: metadata and languages as their columns, all else by name."""
+    meta = {f"metadata_{c}": F.col(f"metadata.{c}") for c in ("title", "author", "creator", "created", "modified")}
+    own = meta | {"metadata_extra_json": F.to_json("metadata.extra"), "languages_json": F.to_json("languages")}
+    return records.select(*[own[f.name].alias(f.name) if f.name in own else F.col(f.name).cast(f.dataType) if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def nested_records(nested: DataFrame) -> DataFrame:
+    """Nested documents with their metadata as one field and their languages as an array: ``document_rows`` the other way round."""
+    names = ("title", "author", "creator", "created", "modified")
+    have = set(nested.columns)
+    extra = F.from_json("metadata_extra_json", "map<string,string>") if "metadata_extra_json" in have else F.lit(None).cast("map<string,string>")
+    fields = [F.col(f"metadata_{c}").alias(c) if f"metadata_{c}" in have else F.lit(None).cast("string").alias(c) for c in names]
+    languages = F.from_json("languages_json", "array<string>") if "languages_json" in have else F.lit(None).cast("array<string>")
+    return nested.withColumn("metadata", F.struct(*fields, extra.alias("extra"))).withColumn("languages", languages)
+
+
+def import_tables(registry: dict[str, DataFrame], suggestions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a registry of nested records (``sources.files.read_registry``), and the suggestions that are carried over to it.
+
+    Ids of paths and outline entries are hashes of what they stand for, so that an import that is repeated gives the same.
+    """
+    nested = registry["documents"]
+    paths = flatten_paths(nested.filter("paths is not null")).distinct()
+    toc = flatten_toc(nested.filter("toc is not null"))
+    jobs = registry["scan_jobs"]
+    out = {
+        "documents": document_rows(nested, schemas.TABLES["documents"]),
+        "document_paths": paths.select(F.xxhash64("rel_path").alias("id"), "sha256", "rel_path"),
+        "document_toc": toc.select(F.xxhash64("sha256", "position").alias("id"), "sha256", "level", "title", "page", "position"),
+        "scanned_file_in_job": registry["scanned_files_in_job"].select(*schemas.TABLES["scanned_file_in_job"].names),
+        "scan_jobs": jobs.select(*[F.try_to_timestamp(F.col("run_at")).cast("timestamp_ntz").alias("run_at") if c == "run_at" else F.col(c) for c in schemas.TABLES["scan_jobs"].names]),
+    }
+    if suggestions is not None:
+        out["llm_document_suggestions"] = carry_over(suggestions, out["documents"])
+    return out
+
+
 def import_summary(documents: DataFrame, paths: DataFrame, toc: DataFrame, state: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row of counts; each table is counted where it is, only counts are moved."""
     tables = {"documents": documents, "paths": paths, "toc_entries": toc, "scanned_files": state, "scan_jobs": jobs}
@@ -140,12 +180,24 @@ def merge_state(state: DataFrame, rows: DataFrame, job_id: str) -> DataFrame:
     return kept.join(seen, "rel_path", "left").select(*cols[:4], job).unionByName(new)
 
 
-def merge_documents(documents: DataFrame, rows: DataFrame, job_id: str) -> DataFrame:
-    """(sha256, file_name, first_seen_job, last_seen_job) after the merge; a new document is named after its first path."""
-    seen = rows.groupBy("sha256").agg(F.max(F.when(F.col("added"), X.basename(F.col("rel_path")))).alias("_new"))
-    both = documents.select("sha256", "file_name", "first_seen_job", "last_seen_job", F.lit(True).alias("_old")).join(seen.withColumn("_seen", F.lit(True)), "sha256", "full_outer")
+def merge_documents(documents: DataFrame, rows: DataFrame, job_id: str, records: DataFrame | None = None) -> DataFrame:
+    """Documents with all their columns after the merge; a new document is named after its first path.
+
+    ``records``: (rel_path, any columns of documents) of the batch, from which a new document takes what it is not given here; columns that
+    neither has are null.
+    """
     job = F.lit(job_id)
-    return both.select("sha256", F.coalesce("file_name", "_new").alias("file_name"), F.when(F.col("_old"), F.col("first_seen_job")).otherwise(job).alias("first_seen_job"), F.when(F.col("_seen"), job).otherwise(F.col("last_seen_job")).alias("last_seen_job"))
+    seen = rows.groupBy("sha256").agg(F.max(F.when(F.col("added"), F.col("rel_path"))).alias("_path"))
+    old = documents.join(seen.select("sha256", F.lit(True).alias("_seen")), "sha256", "left")
+    kept = old.select(*[F.when(F.col("_seen"), job).otherwise(F.col(c)).alias(c) if c == "last_seen_job" else F.col(c) for c in documents.columns])
+    fresh = seen.filter("_path is not null").join(documents.select("sha256"), "sha256", "left_anti")
+    given = {"sha256": F.col("sha256"), "file_name": X.basename(F.col("_path")), "first_seen_job": job, "last_seen_job": job}
+    if records is not None:
+        extra = [c for c in records.columns if c in documents.columns and c not in given]
+        one = records.groupBy(F.col("rel_path").alias("_path")).agg(F.first(F.struct(F.lit(0).alias("_"), *extra)).alias("_r"))
+        fresh = fresh.join(one, "_path", "left")
+        given |= {c: F.col(f"_r.{c}") for c in extra}
+    return kept.unionByName(fresh.select(*[given.get(c, F.lit(None)).cast(documents.schema[c].dataType).alias(c) for c in documents.columns]))
 
 
 def keyword_dedup(keywords: DataFrame, keyword: str, position: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.operators.partitioning import seeded_order
+from shelfmark.session import cut_lineage
 
 #: Statuses that a later suggestion must not overwrite.
 STICKY = ("applied", "manual_touched")
@@ -123,11 +125,12 @@ def resolve_children(responses: DataFrame, nodes: DataFrame) -> DataFrame:
     return responses.join(kids, ["node_id", "label"], "left").select("node_id", "sha256", "label", "child_id", problem.alias("problem"))
 
 
-def classify(assignments: DataFrame, paths: DataFrame, minimum: str = "medium", keywords: list[str] | None = None) -> DataFrame:
-    """Assignments with ``outcome``: applied, excluded (a path holds a keyword) or skipped.
+def classify(assignments: DataFrame, paths: DataFrame, minimum: str = "medium", keywords: list[str] | None = None, node_id: int | None = None) -> DataFrame:
+    """Assignments (of one node, or of all) with ``outcome``: applied, excluded (a path holds a keyword) or skipped.
 
     Only pending ones with a child and enough confidence can be applied.
     """
+    assignments = assignments if node_id is None else assignments.filter(F.col("node_id") == node_id)
     rank = {"low": 0, "medium": 1, "high": 2}[minimum]
     hit = paths.filter(X.contains_any(F.col("rel_path"), keywords or [])).select("sha256", F.lit(True).alias("_hit")).distinct()
     ready = (F.col("status") == "pending") & F.col("assigned_child_id").isNotNull() & (X.confidence_rank(F.col("confidence")) >= rank)
@@ -142,6 +145,14 @@ def apply_members(members: DataFrame, classified: DataFrame) -> DataFrame:
     return kept.unionByName(done.select(F.col("assigned_child_id").alias("node_id"), "sha256")).distinct()
 
 
+def apply_statuses(assignments: DataFrame, classified: DataFrame, at: str | None = None) -> DataFrame:
+    """Assignments in which those that were applied say so, with the time ``at`` of the change, so that none is applied twice."""
+    done = classified.filter("outcome = 'applied'").select("node_id", "sha256", F.lit(True).alias("_done"))
+    rows = assignments.join(done, ["node_id", "sha256"], "left")
+    now = {"status": F.lit("applied")} | ({} if at is None else {"updated_at": F.lit(at).cast("timestamp_ntz")})
+    return rows.select(*[F.when(F.col("_done"), now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in assignments.columns])
+
+
 def apply_summary(classified: DataFrame) -> DataFrame:
     return classified.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("applied", "excluded", "skipped")])
 
@@ -160,6 +171,19 @@ def partition_children(nodes: DataFrame, parent_path: str, names: list[str]) ->
     return kept.unionByName(made)
 
 
+def replace_children(nodes: DataFrame, members: DataFrame, terms: DataFrame, assignments: DataFrame, parent_path: str, names: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The four tables in which a node's subtree is replaced by children with these terms (name -> terms).
+
+    Members, terms and assignments of the old subtree go with it; each new child has its terms, trimmed, non-blank and distinct.
+    """
+    left = delete_subtree(nodes, members, terms, assignments, parent_path)
+    made = partition_children(nodes, parent_path, list(names))
+    spark = nodes.sparkSession
+    given = spark.createDataFrame([(f"{parent_path}/{n.strip()}", list(t)) for n, t in names.items() if n.strip()], "path string, t array<string>")
+    fresh = given.join(made.select("path", F.col("id").alias("node_id")), "path").select("node_id", F.explode(X.clean_terms(F.col("t"))).alias("term")).distinct()
+    return {"nodes": made, "members": left["members"], "terms": left["terms"].select("node_id", "term").unionByName(fresh), "assignments": left["assignments"]}
+
+
 def remove_members(members: DataFrame, gone: DataFrame) -> DataFrame:
     """Memberships without the given (node_id, sha256)."""
     return members.select("node_id", "sha256").join(gone.select("node_id", "sha256"), ["node_id", "sha256"], "left_anti")
@@ -189,13 +213,13 @@ def delete_node(nodes: DataFrame, members: DataFrame, terms: DataFrame, assignme
 
 
 def ensure_nodes(nodes: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """Nodes with those that the paths in ``wanted`` still need; ids follow the greatest there is, in order of the path.
+    """Nodes with those that the paths in ``wanted`` still need; ids follow the greatest there is, in order of the hash of the path.
 
-    New nodes are made by hand or by a watcher, so their list is short enough to be put in order in one place.
+    Ranks come from counts per part of the hash and small windows within, so that no task holds all new nodes.
     """
-    fresh = chain(wanted, path).join(nodes.select("path"), "path", "left_anti")
+    fresh = cut_lineage(chain(wanted, path).join(nodes.select("path"), "path", "left_anti"))
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))  # one row
-    listed = fresh.agg(F.sort_array(F.collect_list(F.struct("path", "name", "parent_path", "depth"))).alias("_all")).join(F.broadcast(top), F.lit(True))
-    made = listed.select("_max", F.posexplode("_all").alias("_i", "_n")).select((F.col("_max") + F.col("_i") + 1).cast("bigint").alias("id"), F.col("_n.parent_path").alias("parent_path"), F.col("_n.name").alias("name"), F.col("_n.path").alias("path"), F.col("_n.depth").alias("depth"))
+    ranked = fresh.join(seeded_order(fresh, "path", "node"), "path").join(F.broadcast(top), F.lit(True))
+    made = ranked.select((F.col("_max") + F.col("rank")).cast("bigint").alias("id"), "parent_path", "name", "path", "depth")
     ids = nodes.select("id", "path").unionByName(made.select("id", "path")).select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path"))
     return nodes.unionByName(made.join(ids, "parent_path", "left").select("id", "parent_id", "name", "path", "depth"))

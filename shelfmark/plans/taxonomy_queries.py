@@ -162,6 +162,11 @@ def apply_memberships(spark, base):
     return T.apply_members(V.members(spark, base), _classified(spark, base))
 
 
+@query("apply_assignments", f"WITH o AS ({_OUTCOME}) SELECT node_id, sha256, assigned_child_id, CASE WHEN outcome = 'applied' THEN 'applied' ELSE status END AS status FROM o")
+def apply_assignments(spark, base):
+    return T.apply_statuses(V.assignments(spark, base), _classified(spark, base)).select("node_id", "sha256", "assigned_child_id", "status")
+
+
 @query("apply_summary", f"SELECT count(*) FILTER (outcome = 'applied') AS applied, count(*) FILTER (outcome = 'excluded') AS excluded, count(*) FILTER (outcome = 'skipped') AS skipped FROM ({_OUTCOME})")
 def apply_summary(spark, base):
     return T.apply_summary(_classified(spark, base))

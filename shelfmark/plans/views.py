@@ -21,10 +21,12 @@ def _digest(c: str):
 
 
 def documents(spark: SparkSession, base: str, *columns: str) -> DataFrame:
-    """One row per digest: that of the smallest id."""
-    docs = read_table(spark, base, "documents")
-    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
-    return docs.select("sha256", "doc_id", *columns).join(first, ["sha256", "doc_id"]).select("sha256", "doc_id", *columns)
+    """One row per digest: that of the smallest id; found in one pass."""
+    docs = read_table(spark, base, "documents").filter("sha256 is not null")
+    if not columns:
+        return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
+    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct(*columns), "doc_id").alias("_d"))
+    return first.select("sha256", "doc_id", *[F.col(f"_d.{c}").alias(c) for c in columns])
 
 
 def paths(spark: SparkSession, base: str) -> DataFrame:
@@ -101,7 +103,7 @@ def events(spark: SparkSession, base: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "purchase", "moved").when(F.col("event_type") == "error", "deleted").otherwise("modified")
     end = F.when(F.col("k") % 7 == 0, ".txt").otherwise(".PDF")
     src = F.when(F.col("k") % 5 == 0, F.concat(F.lit("/outside/f"), "k", F.lit(".pdf"))).otherwise(F.concat(F.lit("/data/Root/u"), "user_id", F.lit("/f"), "k", end))
-    out = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("/outside/f"), "k", F.lit(".pdf"))).otherwise(F.concat(F.lit("/data/Root/u"), ((F.col("user_id") + 1) % 150).cast("string"), F.lit("/f"), "k", F.lit(".pdf")))
+    out = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("/outside/f"), "k", F.lit(".pdf"))).otherwise(F.concat(F.lit("/data/Root/u"), (F.col("user_id") + 1).cast("string"), F.lit("/f"), "k", F.lit(".pdf")))
     return e.select("event_id", kind.alias("kind"), (F.col("event_type") == "view").alias("is_directory"), src.alias("src_path"), F.when(F.col("event_type") == "purchase", out).alias("dest_path"))
 
 
@@ -137,7 +139,7 @@ SQL = {
     "v_ev0": "SELECT *, regexp_extract(props, '(\\d+)', 1)::BIGINT AS k FROM events",
     "v_events": """SELECT event_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'moved' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, event_type = 'view' AS is_directory,
         CASE WHEN k % 5 = 0 THEN '/outside/f' || k || '.pdf' ELSE '/data/Root/u' || user_id || '/f' || k || CASE WHEN k % 7 = 0 THEN '.txt' ELSE '.PDF' END END AS src_path,
-        CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN '/outside/f' || k || '.pdf' ELSE '/data/Root/u' || ((user_id + 1) % 150) || '/f' || k || '.pdf' END END AS dest_path FROM v_ev0""",
+        CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN '/outside/f' || k || '.pdf' ELSE '/data/Root/u' || (user_id + 1) || '/f' || k || '.pdf' END END AS dest_path FROM v_ev0""",
     "v_known": "SELECT DISTINCT 'Root/u' || user_id || '/f' || k || '.PDF' AS rel_path FROM v_ev0 WHERE user_id % 2 = 0 AND k < 50",
     "v_norm": """SELECT * FROM (SELECT event_id, kind, CASE WHEN src_path LIKE '/data/%' AND lower(src_path) LIKE '%.pdf' THEN substr(src_path, 7) END AS src,
         CASE WHEN dest_path LIKE '/data/%' AND lower(dest_path) LIKE '%.pdf' THEN substr(dest_path, 7) END AS dest FROM v_events WHERE NOT is_directory) WHERE src IS NOT NULL OR dest IS NOT NULL""",
@@ -145,8 +147,24 @@ SQL = {
         SELECT *, CASE WHEN kind = 'moved' THEN CASE WHEN src IS NOT NULL AND dest IS NOT NULL THEN 'path_moved' WHEN src IS NOT NULL THEN 'path_missing' ELSE 'path_discovered' END
           WHEN src IS NULL THEN NULL WHEN kind = 'deleted' THEN 'path_missing' WHEN kind = 'created' THEN 'path_discovered'
           WHEN kind = 'modified' AND src NOT IN (SELECT rel_path FROM v_known) THEN 'path_discovered' END AS operation FROM v_norm) WHERE operation IS NOT NULL""",
+    # In these events a path that something is moved to is never the source of an event, and has one source; so what an event does follows from the
+    # first move of its path and the last event before it.
+    "v_ops": """SELECT event_id, operation, CASE WHEN src IS NULL THEN dest ELSE src END AS path, CASE WHEN operation = 'path_moved' THEN dest END AS dest FROM (
+        SELECT *, CASE WHEN kind = 'moved' THEN CASE WHEN src IS NOT NULL AND dest IS NOT NULL THEN 'path_moved' WHEN src IS NOT NULL THEN 'path_missing' ELSE 'path_discovered' END
+          WHEN src IS NULL THEN NULL WHEN kind = 'deleted' THEN 'path_missing' WHEN kind = 'created' THEN 'path_discovered' WHEN kind = 'modified' THEN 'path_changed' END AS operation FROM v_norm) WHERE operation IS NOT NULL""",
+    "v_play": """SELECT *, CASE WHEN event_id <= coalesce(m1, event_id) OR NOT coalesce(alive_m1, true) THEN coalesce(by_rest, known) ELSE coalesce(by_all, known) END AS alive FROM (
+        SELECT *, max(CASE WHEN event_id = m1 THEN coalesce(by_rest, known) END) OVER (PARTITION BY path) AS alive_m1 FROM (
+          SELECT *, path IN (SELECT rel_path FROM v_known) AS known, min(CASE WHEN operation = 'path_moved' THEN event_id END) OVER (PARTITION BY path) AS m1,
+            last_value(CASE operation WHEN 'path_discovered' THEN true WHEN 'path_changed' THEN true WHEN 'path_missing' THEN false END IGNORE NULLS) OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS by_rest,
+            lag(operation IN ('path_discovered', 'path_changed')) OVER (PARTITION BY path ORDER BY event_id) AS by_all FROM v_ops))""",
+    "v_fx": """SELECT event_id, 'discovered' AS effect, path, NULL AS dest, sha256(path) AS sha256 FROM v_play WHERE operation = 'path_discovered' OR operation = 'path_changed' AND NOT alive
+        UNION ALL SELECT event_id, 'deleted', path, NULL, sha256(path) FROM v_play WHERE operation = 'path_missing' AND alive
+        UNION ALL SELECT event_id, CASE WHEN event_id = m1 THEN 'renamed' ELSE 'dropped' END, path, dest, sha256(path) FROM v_play WHERE operation = 'path_moved' AND alive AND alive_m1
+        UNION ALL SELECT event_id, 'discovered', dest, NULL, sha256(dest) FROM v_play WHERE operation = 'path_moved' AND NOT (alive AND alive_m1)""",
+    "v_now": """SELECT path AS rel_path, sha256 FROM (SELECT coalesce(dest, path) AS path, sha256, row_number() OVER (PARTITION BY coalesce(dest, path) ORDER BY event_id) AS r FROM v_fx WHERE dest IS NOT NULL OR path LIKE '%.pdf' AND effect = 'discovered') WHERE r = 1
+        UNION ALL SELECT rel_path, sha256(rel_path) FROM (SELECT k.rel_path FROM v_known k WHERE NOT EXISTS (SELECT 1 FROM v_fx f WHERE f.path = k.rel_path) UNION ALL SELECT path FROM (SELECT path, effect, row_number() OVER (PARTITION BY path ORDER BY event_id DESC) AS r FROM v_fx WHERE path NOT LIKE '%.pdf') WHERE r = 1 AND effect = 'discovered')""",
 }
-_NEEDS = {"v_scans": ["v_jobs"], "v_state": ["v_scans"], "v_prior": ["v_scans"], "v_batch": ["v_scans"], "v_merge": ["v_batch", "v_state", "v_prior"], "v_members": ["v_customers"], "v_assign": ["v_customers"], "v_events": ["v_ev0"], "v_known": ["v_ev0"], "v_norm": ["v_events"], "v_route": ["v_norm", "v_known"]}
+_NEEDS = {"v_scans": ["v_jobs"], "v_state": ["v_scans"], "v_prior": ["v_scans"], "v_batch": ["v_scans"], "v_merge": ["v_batch", "v_state", "v_prior"], "v_members": ["v_customers"], "v_assign": ["v_customers"], "v_events": ["v_ev0"], "v_known": ["v_ev0"], "v_norm": ["v_events"], "v_route": ["v_norm", "v_known"], "v_ops": ["v_norm"], "v_play": ["v_ops", "v_known"], "v_fx": ["v_play"], "v_now": ["v_fx", "v_known"]}
 
 
 def with_views(query: str) -> str:

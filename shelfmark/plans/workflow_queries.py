@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text as X
+from shelfmark.operators import effects
 from shelfmark.operators import registry as R
 from shelfmark.operators import suggestions as S
+from shelfmark.operators import taxonomy as T
 from shelfmark.plans import views as V
 from shelfmark.plans.catalog import Catalog
-from shelfmark.session import read_table
+from shelfmark.schemas import empty_table
+from shelfmark.session import cut_lineage, read_table
 from shelfmark.streaming import watch as W
 
 catalog = Catalog()
@@ -145,14 +149,50 @@ def watch_route(spark, base):
     return W.route(watch_normalise(spark, base), V.known_paths(spark, base))
 
 
-@query("watch_apply", """WITH effects AS (SELECT event_id, path AS rel_path, operation = 'path_discovered' AS there FROM v_route UNION ALL SELECT event_id, dest, true FROM v_route WHERE operation = 'path_moved'),
-    last AS (SELECT rel_path, there FROM (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY event_id DESC, there DESC) AS r FROM effects) WHERE r = 1)
-    SELECT rel_path, sha256(rel_path) AS sha256 FROM v_known WHERE rel_path NOT IN (SELECT rel_path FROM last) UNION ALL SELECT rel_path, sha256(rel_path) FROM last WHERE there""")
+def _registry(spark, base):
+    """The known paths as a registry: each of a document of its own, in the root and its folder's node, with a pending assignment."""
+    paths = V.known_paths(spark, base).select(F.sha2("rel_path", 256).alias("sha256"), "rel_path")
+    nodes = cut_lineage(T.ensure_nodes(empty_table(spark, "taxonomy_nodes"), paths.select(X.parent_path(F.col("rel_path")).alias("p")), "p"))
+    at = paths.select("sha256", F.explode(F.array(F.lit("Root"), X.parent_path(F.col("rel_path")))).alias("path")).join(nodes.select("path", F.col("id").alias("node_id")), "path").select("node_id", "sha256")
+    own = paths.select(F.lit(1).cast("bigint").alias("node_id"), "sha256", F.lit(None).cast("bigint").alias("assigned_child_id"), F.lit("high").alias("confidence"), F.lit("pending").alias("status"))
+    state = paths.select("rel_path", "sha256", F.lit(1).cast("bigint").alias("size_bytes"), F.lit(0.0).alias("mtime"), F.lit("j").alias("last_scanned_job"))
+    return {"documents": paths.select("sha256", X.basename(F.col("rel_path")).alias("file_name")), "paths": paths, "state": state, "nodes": nodes, "members": at, "assignments": own}
+
+
+def _after(spark, base):
+    operations = cut_lineage(W.route(watch_normalise(spark, base)))
+    content = operations.select(F.explode(F.array_compact(F.array("path", "dest"))).alias("rel_path")).distinct().withColumn("sha256", F.sha2("rel_path", 256))
+    return effects.apply(_registry(spark, base), operations, content)
+
+
+@query("watch_apply", "SELECT rel_path, sha256 FROM v_now")
 def watch_apply(spark, base):
-    ops = watch_route(spark, base)
-    named = lambda df: df.withColumn("sha256", F.sha2("rel_path", 256))
-    content = named(ops.select(F.explode(F.array("path", "dest")).alias("rel_path")).filter("rel_path is not null").distinct())
-    return W.apply(named(V.known_paths(spark, base)), ops, content)
+    return _after(spark, base)["paths"].select("rel_path", "sha256")
+
+
+@query("watch_documents", """SELECT sha256, regexp_extract(max_by(place, event_id), '[^/]*$') AS file_name FROM (SELECT sha256, event_id, coalesce(dest, path) AS place FROM v_fx WHERE effect IN ('discovered', 'renamed') UNION ALL SELECT sha256(rel_path), -1, rel_path FROM v_known) GROUP BY 1""")
+def watch_documents(spark, base):
+    return _after(spark, base)["documents"].select("sha256", "file_name")
+
+
+@query("watch_state", """SELECT coalesce(f.dest, k.rel_path) AS rel_path, sha256(k.rel_path) AS sha256 FROM v_known k LEFT JOIN (SELECT path, effect, dest, row_number() OVER (PARTITION BY path ORDER BY event_id) AS r FROM v_fx WHERE effect IN ('renamed', 'deleted')) f ON f.path = k.rel_path AND f.r = 1
+    WHERE coalesce(f.effect, '') <> 'deleted'""")
+def watch_state(spark, base):
+    return _after(spark, base)["state"].select("rel_path", "sha256")
+
+
+@query("watch_memberships", """WITH moves AS (SELECT event_id, sha256, 'Root' AS node, 1 AS there FROM v_fx WHERE effect = 'discovered' UNION ALL SELECT event_id, sha256, regexp_replace(path, '/[^/]*$', ''), CASE WHEN effect = 'discovered' THEN 1 ELSE 0 END FROM v_fx
+      UNION ALL SELECT event_id, sha256, regexp_replace(dest, '/[^/]*$', ''), 1 FROM v_fx WHERE dest IS NOT NULL UNION ALL SELECT -1, sha256(rel_path), unnest(['Root', regexp_replace(rel_path, '/[^/]*$', '')]), 1 FROM v_known),
+    last AS (SELECT node, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY node, sha256 ORDER BY event_id DESC, there DESC) AS r FROM moves) WHERE r = 1 AND there = 1)
+    SELECT node AS node_path, sha256 FROM last WHERE NOT (node = 'Root' AND sha256 IN (SELECT sha256 FROM v_fx WHERE effect = 'deleted') AND sha256 NOT IN (SELECT sha256 FROM v_now))""")
+def watch_memberships(spark, base):
+    after = _after(spark, base)
+    return after["members"].join(after["nodes"].select(F.col("id").alias("node_id"), F.col("path").alias("node_path")), "node_id").select("node_path", "sha256")
+
+
+@query("watch_assignments", "SELECT sha256(rel_path) AS sha256, CASE WHEN sha256(rel_path) IN (SELECT sha256 FROM v_fx WHERE effect IN ('renamed', 'dropped')) THEN 'manual_touched' ELSE 'pending' END AS status FROM v_known")
+def watch_assignments(spark, base):
+    return _after(spark, base)["assignments"].select("sha256", "status")
 
 
 _MSG = "CASE id % 4 WHEN 0 THEN 'processed' WHEN 1 THEN 'skipping file due to error' ELSE 'other' END"
@@ -164,3 +204,11 @@ def log_progress(spark, base):
     msg = F.when(k % 4 == 0, "processed").when(k % 4 == 1, "skipping file due to error").otherwise("other")
     line = F.when(k % 9 == 0, F.lit("no json at all")).otherwise(F.to_json(F.struct(msg.alias("msg"), F.col("rel_path").alias("path"))))
     return W.log_progress(read_table(spark, base, "document_paths").select(line.alias("value")))
+
+
+@query("log_progress_running", f"SELECT id, path, row_number() OVER (ORDER BY id) AS attempts FROM (SELECT id, rel_path AS path FROM document_paths WHERE {_MSG} <> 'other' AND id % 9 <> 0)")
+def log_progress_running(spark, base):
+    k = F.col("id")
+    msg = F.when(k % 4 == 0, "processed").when(k % 4 == 1, "skipping file due to error").otherwise("other")
+    line = F.when(k % 9 == 0, F.lit("no json at all")).otherwise(F.to_json(F.struct(msg.alias("msg"), F.col("rel_path").alias("path"))))
+    return W.running_progress(read_table(spark, base, "document_paths").select("id", line.alias("value")), "id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -28,7 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    made = f"file://{os.path.join(tempfile.mkdtemp(prefix='shelfmark-checkpoints-'))}"
+    folder = tempfile.mkdtemp(prefix="shelfmark-checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.sparkContext.setCheckpointDir(made)
     spark.conf.set(CHECKPOINT_KEY, made)
     return made
@@ -69,7 +73,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_shelfmark_shipped", False):
         return
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="shelfmark-package-"), "shelfmark_package.zip")
+    folder = tempfile.mkdtemp(prefix="shelfmark-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "shelfmark_package.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(os.path.join(home, "shelfmark")):
             for name in sorted(names):

@@ -129,17 +129,10 @@ def test_sources(spark, tmp_path):
     assert one != two and spark.read.parquet(one).count() == 1
 
 
-def test_watch_stream_is_the_batch(spark, tmp_path):
-    events = [(1, "created", False, "/data/a.pdf", None), (2, "moved", False, "/data/a.pdf", "/data/b.PDF"), (3, "modified", False, "/data/known.pdf", None), (4, "deleted", False, "/data/c.pdf", None), (5, "moved", False, "/else/x.pdf", "/data/d.pdf"), (6, "created", True, "/data/dir", None), (7, "created", False, "/data/x.txt", None)]
-    src = tmp_path / "in"
-    src.mkdir()
-    names = ["event_id", "kind", "is_directory", "src_path", "dest_path"]
-    (src / "e.json").write_text("\n".join(json.dumps(dict(zip(names, e))) for e in events))
-    known = spark.createDataFrame([("known.pdf",)], "rel_path string")
-    W.watch(spark, str(src), "/data", known, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    stream = spark.read.schema("event_id bigint, operation string, path string, dest string").json(str(tmp_path / "out"))
-    batch = W.route(W.normalise(spark.createDataFrame(events, W.EVENT_SCHEMA), "/data"), known)
-    assert sorted(map(str, stream.collect())) == sorted(map(str, batch.collect()))
-    paths = spark.createDataFrame([("h1", "c.pdf"), ("h2", "known.pdf")], "sha256 string, rel_path string")
-    content = spark.createDataFrame([("a.pdf", "h3"), ("b.PDF", "h3"), ("d.pdf", "h4")], "rel_path string, sha256 string")
-    assert rows(W.apply(paths, batch, content).select("rel_path", "sha256")) == [("b.PDF", "h3"), ("d.pdf", "h4"), ("known.pdf", "h2")]
+def test_routing(spark):
+    events = [(1, "created", False, "/data/a.pdf", None), (2, "moved", False, "/data/a.pdf", "/data/b.PDF"), (3, "modified", False, "/data/known.pdf", None), (4, "deleted", False, "/data/c.pdf", None), (5, "moved", False, "/else/x.pdf", "/data/d.pdf"), (6, "created", True, "/data/dir", None), (7, "created", False, "/data/x.txt", None), (8, "modified", False, "/data/new.pdf", None), (9, "moved", False, "/data/c.pdf", "/else/c.pdf")]
+    normal = W.normalise(spark.createDataFrame(events, W.EVENT_SCHEMA), "/data")
+    got = rows(W.route(normal, spark.createDataFrame([("known.pdf",)], "rel_path string")))
+    assert got == [(1, "path_discovered", "a.pdf", None), (2, "path_moved", "a.pdf", "b.PDF"), (4, "path_missing", "c.pdf", None), (5, "path_discovered", "d.pdf", None), (8, "path_discovered", "new.pdf", None), (9, "path_missing", "c.pdf", None)]
+    later = rows(W.route(normal))
+    assert (3, "path_changed", "known.pdf", None) in later and (8, "path_changed", "new.pdf", None) in later and len(later) == len(got) + 1
