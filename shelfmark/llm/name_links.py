@@ -184,12 +184,17 @@ def attach(forms: DataFrame) -> DataFrame:
     parts = people.filter(F.length("part") >= LEAST_PART).select("stem", "part", variant, F.explode(dels("part")).alias("d"))
     pairs = parts.join(parts.select("stem", F.col("part").alias("c_part"), F.col("v").alias("c"), "d"), ["stem", "d"]).filter("c > v").drop("d").distinct()
     met.append(cut_lineage(pairs.filter(near("part", "c_part")).select("v", "c", log["typo"].alias("p"))))
-    # one of several words of an organisation abbreviated or with another ending, the others equal
-    words = F.split("stem", " ")
-    several = ranked.filter(~person & (F.size(words) > 1)).select("kind", "part", F.struct("full", "n", "id").alias("v"), words.alias("_w"), F.posexplode(words).alias("_i", "word"))
-    several = several.filter(F.length("word") >= ROOT).select("kind", "part", "v", "word", F.concat_ws(" ", F.filter("_w", lambda x, i: i != F.col("_i"))).alias("others"), F.substring("word", 1, ROOT).alias("root"))
-    pairs = several.join(several.select("kind", "part", "others", "root", F.col("word").alias("c_word"), F.col("v").alias("c")), ["kind", "part", "others", "root"]).filter("c > v")
-    met.append(pairs.filter(F.pandas_udf(_same_root, "boolean")("word", "c_word")).select("v", "c", log["short"].alias("p")))
+    # one of several words of an organisation with a typo, abbreviated or with another ending, the others equal; two known fields are two fields
+    fields = F.filter(F.split("part", " "), lambda w: w != "")
+    words = F.array_distinct(F.concat(F.split("stem", " "), fields))
+    several = ranked.filter(~person & (F.size(words) > 1)).select("kind", F.struct("full", "n", "id").alias("v"), fields.alias("_f"), F.array_sort(words).alias("_w"), F.explode(words).alias("word"))
+    several = several.filter(F.length("word") >= LEAST_STEM).select("kind", "v", "word", F.array_contains("_f", F.col("word")).alias("field"), F.concat_ws(" ", F.filter("_w", lambda x: x != F.col("word"))).alias("others"))
+    # keys of what is near: the word with one letter left out, and its root
+    keyed = several.withColumn("d", F.explode(F.concat(dels("word"), F.when(F.length("word") >= ROOT, F.array(F.concat(F.lit("^"), F.substring("word", 1, ROOT)))).otherwise(F.array().cast("array<string>")))))
+    other = keyed.select("kind", "others", "d", F.col("word").alias("c_word"), F.col("field").alias("c_field"), F.col("v").alias("c"))
+    pairs = keyed.join(other, ["kind", "others", "d"]).filter("c > v and word <> c_word and not (field and c_field)").select("v", "c", "word", "c_word").distinct()
+    how = F.when(near("word", "c_word"), log["typo"]).when(F.pandas_udf(_same_root, "boolean")("word", "c_word"), log["short"])
+    met.append(cut_lineage(pairs.withColumn("p", how).filter("p is not null").select("v", "c", "p")))
     found = met[0]
     for more in met[1:]:
         found = found.unionByName(more)

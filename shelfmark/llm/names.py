@@ -124,7 +124,7 @@ def read_name(name: str, known: Mapping[str, str]) -> tuple[str, str, str, float
 
     ``known``: word -> the common word it is or is meant to be (typos put right), "~" + a common word -> anything, "^" + word -> the
     common word that it is short for or derived from.  A person has the given name or initial as part and the surname as stem; an organisation the
-    words of its field, cut to six letters, as part.  The likelihood is that of this spelling given the plain one of the reading.
+    words of its field as part.  The likelihood is that of this spelling given the plain one of the reading.
     """
     raw = tokens(name)
     words = [(t, known.get(t.rstrip("."), t.rstrip("."))) for t in raw]
@@ -151,7 +151,7 @@ def read_name(name: str, known: Mapping[str, str]) -> tuple[str, str, str, float
         happened += ["swapped"] if "," in raw else []
         happened += ["legal"] if not kinds or kind in ("press", "sons") and not any(w in LEGAL for w in plain) else []
         stem = " ".join(sorted({w for _, w in rest} - {w for _, w in field}))
-        return (kind, " ".join(sorted({m[:6] for m in meant})), stem, _likelihood(happened)) if stem else None
+        return (kind, " ".join(sorted(set(meant))), stem, _likelihood(happened)) if stem else None
     people = [(t, w) for t, w in words if w not in TITLES]
     happened += ["title"] if len(people) < len(words) else []
     while people and people[-1][0] == ",":
