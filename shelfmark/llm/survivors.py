@@ -106,8 +106,8 @@ def _align(columns: list[dict[str, float]], total: float, other: list[dict[str,
 
 
 def _class_of(column: dict[str, float]) -> str:
-    """Class of a column's weightiest token: letters, digits, white space, or the sign itself."""
-    t = max((t for t in column if t and t[0] not in "\0\1"), key=lambda t: (column[t], t), default="")
+    """Class of a column's tokens, which are all alike, as others are never put together: letters, digits, white space, or the sign itself."""
+    t = next((t for t in column if t and t[0] not in "\0\1"), "")
     return "a" if t[:1].isalpha() else "1" if t[:1].isdigit() else " " if t[:1].isspace() else t
 
 
